@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chartwork.llm.fingerprints import fingerprint_documents
+from chartwork.llm.jaccard import jaccard_components
+from chartwork.llm.langid import predict_languages
 from chartwork.llm.linededup import dedup_lines
 from chartwork.llm.mixing import mix_sources
 from chartwork.llm.sharding import shard_documents
@@ -22,10 +24,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +43,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
+    "op4_language_id": op4_language_id,
     "op8_mixing": op8_mixing,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_fingerprints": op10_fingerprints,
 }
 
@@ -54,5 +66,28 @@ marked as (
 select doc_id, count(*)::bigint as n_lines, count(*) filter (cut)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by nr) filter (not cut), '')) as kept_sha256
 from marked group by doc_id
+""",
+    "op9_ngram_jaccard": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents),
+sets as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as s
+  from w),
+grams as (select doc_id, unnest(s) as g from sets),
+counted as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o
+  from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from counted join sets x on x.doc_id = a join sets y on y.doc_id = b
+  where 100 * o >= 80 * (len(x.s) + len(y.s) - o)),
+reach(doc_id, c) as (
+  select doc_id, doc_id from documents
+  union
+  select l.b, r.c from reach r join links l on l.a = r.doc_id where r.c < l.b)
+select s.doc_id, len(s.s)::bigint as n_shingles, m.c as component_id
+from sets s join (select doc_id, min(c) as c from reach group by doc_id) m on m.doc_id = s.doc_id
 """,
 }
