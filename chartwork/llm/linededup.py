@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwork.llm.common import drop, new_folder
+from chartwork.llm.common import drop, new_folder, small, written
 
 #: Lines are keyed without this white space at their ends.
 _BLANK = " \t\n\x0b\x0c\r"
@@ -169,7 +169,7 @@ def dedup_lines(
     Other columns are left out.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lines = repeated_lines(rows, min_chars, min_docs, batches)
+    lines = small(written(repeated_lines(rows, min_chars, min_docs, batches), "repeated-lines"))
     hashed = rows.mapInPandas(_hashes(min_chars), "h long, l long, doc_id long")
     cut = hashed.join(lines, ["h", "l"]).where("doc_id is null or doc_id <> holder")
     # a document's repeated lines are no more than its lines
