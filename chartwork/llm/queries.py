@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chartwork.llm.decontamination import find_leaks
+from chartwork.llm.extraction import extract_text
 from chartwork.llm.fingerprints import fingerprint_documents
 from chartwork.llm.jaccard import jaccard_components
 from chartwork.llm.langid import predict_languages
@@ -12,6 +14,7 @@ from chartwork.llm.linededup import dedup_lines
 from chartwork.llm.mixing import mix_sources
 from chartwork.llm.sharding import shard_documents
 from chartwork.llm.substrings import repeated_passages
+from chartwork.llm.warc import captures_of_pages, resolve_revisits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +29,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures_of_pages(_table(spark, sf_dir, "pages")))
+    fields = [F.col("headers")[k].alias(k.replace("-", "_")) for k in ("etag", "last-modified", "date", "cache-control", "content-length")]
+    return found.select("revisit_id", "canonical", "target_id", "outcome", *fields)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +47,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -53,9 +66,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_mixing": op8_mixing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_fingerprints": op10_fingerprints,
@@ -78,6 +93,47 @@ marked as (
 select doc_id, count(*)::bigint as n_lines, count(*) filter (cut)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by nr) filter (not cut), '')) as kept_sha256
 from marked group by doc_id
+""",
+    "op3_warc_revisits": r"""
+with parts as (
+  select page_id, coalesce(html, '') as html, html is null as bare,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from pages),
+pieces as (
+  select *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') as host,
+    regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
+    list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+      lambda p: p <> '' and lower(split_part(p, '=', 1)) not in ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref',
+        'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))) as params
+  from parts),
+p as (
+  select page_id, bare, html, host || path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as canonical,
+    '"' || substr(md5(html), 1, 16) || '"' as tag, 'day ' || substr(md5(html), 17, 4) as day from pieces),
+one as (
+  select 2 * page_id as id, 2 * page_id as t, canonical, case when page_id % 5 <> 0 then tag end as etag, day,
+    case when not bare then strlen(html)::varchar end as length from p),
+two as (
+  select 2 * page_id + 1 as id, 2 * page_id + 5 as t, canonical, day,
+    case when page_id % 5 = 0 then null when page_id % 7 = 0 then '"stale"' when page_id % 3 = 0 then 'W/' || tag else tag end as etag
+  from p),
+best as (
+  select b.id, b.canonical, b.t, b.etag, b.day, max(struct_pack(t := a.t, id := a.id)) as m
+  from two b left join one a on a.canonical = b.canonical and (a.t < b.t or a.t = b.t and a.id < b.id)
+  group by all),
+found as (
+  select b.*, a.id as target_id, a.etag as own_etag, a.day as own_day, a.length, a.t as own_t
+  from best b left join one a on a.id = b.m.id),
+judged as (
+  select *, case when target_id is null then 'orphan'
+    when etag is not null and own_etag is not null
+      then case when regexp_replace(etag, '^W/', '') = own_etag then 'resolved' else 'mismatch' end
+    when day = own_day then 'resolved' else 'mismatch' end as outcome from found)
+select id as revisit_id, canonical, target_id, outcome,
+  case when outcome = 'mismatch' then own_etag when outcome <> 'orphan' then coalesce(etag, own_etag) end as etag,
+  case when outcome = 'mismatch' then own_day when outcome <> 'orphan' then day end as last_modified,
+  case when outcome = 'mismatch' then 'second ' || own_t when outcome <> 'orphan' then 'second ' || t end as date,
+  case when outcome = 'mismatch' then 'max-age=60' when outcome <> 'orphan' then 'max-age=600' end as cache_control,
+  length as content_length
+from judged
 """,
     "op9_ngram_jaccard": r"""
 with recursive w as (
