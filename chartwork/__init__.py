@@ -1,0 +1 @@
+"""Distance maps, landscapes and text pipelines as Spark DataFrame jobs."""
