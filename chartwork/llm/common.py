@@ -209,7 +209,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) of every id in ``edges`` (a, b): component is the least id reachable.
+    """(id, component) of every id in ``edges`` (a, b) but the least of each component, which names it.
 
     Large-star and small-star in turn until no edge changes; each round is written to the shared folder. A hub's
     neighbours are never gathered: each round is a minimum by key and a join that Spark can split.

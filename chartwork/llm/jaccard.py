@@ -199,7 +199,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         member = member.join(comp, "rep", "left")
     else:
         member = member.withColumn("component", F.lit(None).cast("long"))
-    nearest = F.coalesce("component", "rep", "id")
+    nearest = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return member.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), nearest.alias("component_id"))
 
 
