@@ -14,7 +14,7 @@ def _terms(a: str, b: str, dim: int):
 
 
 def _sum(parts: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, parts)
+    return reduce(lambda x, y: x + y, parts) if parts else F.lit(0.0)
 
 
 def euclid(a: str, b: str, dim: int) -> Column:

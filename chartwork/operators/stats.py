@@ -231,12 +231,12 @@ def alpha_losses(pairs: DataFrame, transfer: Transfer, steps: int = 200, top: fl
 
 def suggest_alpha(losses: DataFrame) -> DataFrame:
     """One row: the alpha of least loss and the 16 % and 84 % points of the posterior exp(-loss) over the grid."""
-    best = losses.agg(F.min("loss").alias("least"), F.min_by("alpha", F.struct("loss", "alpha")).alias("alpha"))
+    best = losses.agg(F.min("loss").alias("least"), F.min_by("alpha", F.struct("loss", "alpha")).alias("best"))
     mass = losses.crossJoin(F.broadcast(best)).withColumn("p", F.exp(F.col("least") - F.col("loss")))
     run = Window.orderBy("alpha").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as the grid has
     part = mass.withColumn("c", F.sum("p").over(run) / F.sum("p").over(Window.partitionBy()))
     at = lambda q: F.min(F.when(F.col("c") >= q, F.col("alpha")))
-    return part.agg(at(0.16).alias("alpha_lo"), at(0.84).alias("alpha_hi")).crossJoin(best.select("alpha")).select("alpha", "alpha_lo", "alpha_hi")
+    return part.agg(at(0.16).alias("alpha_lo"), at(0.84).alias("alpha_hi")).crossJoin(best).select(F.col("best").alias("alpha"), "alpha_lo", "alpha_hi")
 
 
 def plugin_alpha(pairs: DataFrame, sigma: float) -> DataFrame:

@@ -34,8 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _E = "e as materialized (select vec_id as id, embedding::double[] as x, label from embeddings)"
 _P = _E + ", p as materialized (select a.id as i, b.id as j, list_distance(a.x, b.x) as d, sqrt(pow(a.x[1] - b.x[1], 2) + pow(a.x[2] - b.x[2], 2)) as dl from e a join e b on b.id < a.id)"
 _BOTH = ", g as (select i, j, d from p union all select j, i, d from p), k as materialized (select i, j, d, row_number() over (partition by i order by d, j) as rank from g)"
-_ID = "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey"
-_ATOM = "l_linenumber::bigint * 1000000000 + l_partkey * 10000 + l_suppkey"
+_ID = "(((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 64 + cast(l_quantity as bigint)"
+_ATOM = "(l_linenumber::bigint * 1000000000 + l_partkey * 10000 + l_suppkey) * 64 + cast(l_quantity as bigint)"
 _L = f"l as materialized (select {_ID} as id, l_quantity / 50 as q, l_extendedprice / 100000 as p, l_discount * 10 as s, l_tax * 10 as t, l_returnflag as flag, l_linestatus as status from lineitem)"
 _M = ", m as (select s_suppkey as lid, s_acctbal / 10000 as lq, (s_suppkey % 7) / 7.0::double as lp, 1.0::double + s_nationkey as lw, s_acctbal / 1000 as px, s_nationkey::double as py from supplier where s_suppkey <= 50)"
 
@@ -320,7 +320,7 @@ def alpha_grid(spark, sf_dir):
     return stats.alpha_losses(p, Transfer("sigmoid", (0.8,)), 40).select("alpha", F.round("loss", 4).alias("loss"))
 
 
-@query(_ALPHA + ", v as (select (0.64 - d2) / along2 as v, row_number() over (order by (0.64 - d2) / along2) - 1 as r, count(*) over () as n from p where not same and along2 > 0 and d2 < 0.64) select round(v, 6) as alpha, n as n_used from v where r = n // 2")
+@query(_ALPHA + ", v as (select (0.64 - d2) / along2 as v, row_number() over (order by (0.64 - d2) / along2) - 1 as r, count(*) over () as n from p where not same and along2 > 0 and d2 < 0.64) select coalesce(round(max(v) filter (r = n // 2), 6), 0)::double as alpha, count(*) as n_used from v")
 def alpha_plugin(spark, sf_dir):
     p = stats.labelled_pairs(pairs.all_pairs(_parts(spark, sf_dir), more=("x",)), [0.1, 0.95], [0.9, 1.85])
     return stats.plugin_alpha(p, 0.8).select(R6(F.col("alpha")).alias("alpha"), "n_used")

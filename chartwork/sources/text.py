@@ -79,7 +79,7 @@ def read_families(spark: SparkSession, path: str) -> DataFrame:
 
 def write_free_energy(fes: DataFrame, path: str) -> None:
     """``x y F rho`` with a blank line after each row of cells and ``nan`` for empty ones."""
-    f = F.coalesce(F.format_string("%.8f", F.col("f") + 0.0), F.lit("nan"))
+    f = F.when(F.col("f").isNull(), "nan").otherwise(F.format_string("%.8f", F.col("f") + 0.0))
     line = F.concat_ws(" ", F.format_string("%.8f", "x"), F.format_string("%.8f", "y"), f, F.format_string("%.8e", "rho"))
     rows = fes.groupBy("iy").agg(F.array_sort(F.collect_list(F.struct("ix", line.alias("t")))).alias("l"))  # a row of the grid
     text = F.concat(F.array_join(F.transform("l", lambda v: v["t"]), "\n"), F.lit("\n"))
