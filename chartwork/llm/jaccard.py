@@ -19,6 +19,8 @@ LOCAL, FREQUENT = 3, 64
 #: Columns of the incidence with more rows than this are multiplied with pivots first.
 LARGE = 8
 ROUNDS = 4
+#: Shingles (8 bytes each) of all sets that a join broadcasts at most.
+BROADCAST_TOKENS = 2_000_000
 
 
 def _signatures(words: int):
@@ -81,15 +83,22 @@ class _Join:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by the exact overlap of their whole sets."""
         pairs = written(pairs.select("a", "b").distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        ids = written(ids, "pair-ids")
-        sets = self.docs.join(small(ids), "id", "left_semi").select("id", "text").mapInArrow(_sets(self.words), "id long, tokens array<long>")
-        full = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-        full = full.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+        left = written(self.sets(pairs, "a"), "left-sets")
+        right = pairs.join(self.sets(pairs, "b"), "b")
+        # pivots are few: their sets go to the pairs if they are small, and are shuffled otherwise
+        if (left.agg(F.sum(F.size("ta"))).first()[0] or 0) <= BROADCAST_TOKENS and left.count() <= BROADCAST_ROWS:
+            left = F.broadcast(left)
+        full = right.join(left, "a")
         overlap = F.size(F.array_intersect("ta", "tb"))
         counted = full.select("a", "b", overlap.alias("o"), (F.size("ta") + F.size("tb")).alias("total"))
         return written(counted.where(F.col("o") * BELOW >= (F.col("total") - F.col("o")) * ABOVE).select("a", "b").distinct(), "links")
 
+    def sets(self, pairs: DataFrame, side: str) -> DataFrame:
+        """(side, t<side>): the whole sets of the ids on one side of the pairs."""
+        ids = written(pairs.select(F.col(side).alias("id")).distinct(), "pair-ids")
+        rows = self.docs.join(small(ids), "id", "left_semi").select("id", "text").mapInArrow(_sets(self.words), "id long, tokens array<long>")
+        return rows.select(F.col("id").alias(side), F.col("tokens").alias(f"t{side}"))
+
     def postings(self, frequent: np.ndarray) -> DataFrame:
         """The incidence restricted to prefixes: (token, id, n, held) of the columns that at least two rows hold.
 
