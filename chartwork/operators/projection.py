@@ -64,6 +64,34 @@ def principal(df: DataFrame, dim: int, k: int, x: str = "x", without: np.ndarray
     return Linear(tuple(mean.tolist()), tuple(axes), tuple(var))
 
 
+def whitened(df: DataFrame, a: list[float], b: list[float], ridge: float = 0.0) -> DataFrame:
+    """Rows turned so that Euclidean distance is the pooled within-class Mahalanobis distance.
+
+    A row's class is its nearer reference, a on ties; each needs two rows. The pooled covariance, divided by the rows
+    less two, comes from one pass of sums; only its D x D inverse is worked out on the driver.
+    """
+    dim = len(a)
+    to = lambda r: sum((F.pow(F.get("x", F.lit(k)) - float(v), 2) for k, v in enumerate(r)), F.lit(0.0))
+    marked = df.withColumn("_a", to(a) <= to(b))
+    total, n = np.zeros((dim, dim)), 0
+    for side in (True, False):
+        own = marked.where(F.col("_a") == side)
+        if own.limit(2).count() < 2:
+            raise ValueError("each reference needs two rows")
+        k, _, cov = covariance(own, dim)
+        total, n = total + cov * k, n + k
+    root = np.linalg.cholesky(np.linalg.inv(total / (n - 2) + ridge * np.eye(dim)))
+    turned = [sum((F.get("x", F.lit(i)) * float(root[i, k]) for i in range(dim)), F.lit(0.0)) for k in range(dim)]
+    return df.select("id", F.array(*turned).alias("x"))
+
+
+def nearest_rows(df: DataFrame, named: list[float], axes: tuple[str, ...], k: int = 20) -> DataFrame:
+    """One row: the mean place of the k rows nearest (L1, then id) to a named vector."""
+    d = sum((F.abs(F.get("x", F.lit(i)) - float(v)) for i, v in enumerate(named)), F.lit(0.0))
+    best = df.withColumn("_d", d).orderBy("_d", "id").limit(k)  # the k is the feature
+    return best.agg(*[F.avg(c).alias(c) for c in axes], F.count("*").alias("n"))
+
+
 def axis_coordinates(df: DataFrame, a: list[float], b: list[float], k: int = 1) -> DataFrame:
     """s1 = (x - a).u / |b - a| along the axis of two references, then k residual principal coordinates."""
     u = np.array(b, dtype=float) - np.array(a, dtype=float)

@@ -140,6 +140,21 @@ def blurred(hist: DataFrame, sigma: float, value: str = "count") -> DataFrame:
     return hist.select("iy", "ix").join(out, ["iy", "ix"], "left").select("iy", "ix", F.coalesce("_v", F.lit(0.0)).alias(value))
 
 
+def cell_summary(df: DataFrame, x: str, y: str, value: str, box: tuple[float, float, float, float], nx: int, ny: int) -> DataFrame:
+    """(iy, ix, least, mean, n) of a value over the cells that have rows: the lower envelope and the conditional mean."""
+    x0, x1, y0, y1 = box
+    cells = df.select(bin_of(y, y0, y1, ny).alias("iy"), bin_of(x, x0, x1, nx).alias("ix"), F.col(value).alias("_v")).where("iy is not null and ix is not null")
+    return cells.groupBy("iy", "ix").agg(F.min("_v").alias("least"), F.avg("_v").alias("mean"), F.count("*").alias("n"))
+
+
+def coordination_histogram(numbers: DataFrame) -> DataFrame:
+    """(cn, count) of coordination numbers from 0 to the largest, with 0 where there are none."""
+    got = numbers.groupBy("cn").agg(F.count("*").alias("count"))
+    top = got.agg(F.max("cn").alias("top"))  # one row; the range below it is that of a bounded count
+    every = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("cn"))
+    return every.join(got, "cn", "left").select("cn", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
 def coordination(atoms: DataFrame, cutoff: float) -> DataFrame:
     """(frame, atom, cn): neighbours nearer than ``cutoff`` in the same frame; ``atoms`` has frame, atom, x, y, z."""
     a = atoms.select("frame", F.col("atom").alias("a"), *[F.col(c).alias(f"{c}1") for c in "xyz"])

@@ -180,6 +180,14 @@ def dist_stretch(spark, sf_dir):
     return _by_point(pairs.all_pairs(_parts(spark, sf_dir), lambda a, b: metrics.stretch(a, b, _UNIT, 3.0)))
 
 
+@query(f"""with c as materialized ({_PART}), k as (select *, pow(x[1] - 0.1, 2) + pow(x[2] - 0.95, 2) <= pow(x[1] - 0.9, 2) + pow(x[2] - 1.85, 2) as side from c),
+s as (select sum(a * n) / (sum(n) - 2) as a, sum(b * n) / (sum(n) - 2) as b, sum(c * n) / (sum(n) - 2) as c from (select side, count(*) as n, covar_pop(x[1], x[1]) as a, covar_pop(x[1], x[2]) as b, covar_pop(x[2], x[2]) as c from k group by 1)),
+p as (select i.id as i, sqrt((s.c * pow(i.x[1] - j.x[1], 2) - 2 * s.b * (i.x[1] - j.x[1]) * (i.x[2] - j.x[2]) + s.a * pow(i.x[2] - j.x[2], 2)) / (s.a * s.c - s.b * s.b)) as d from c i join c j on j.id < i.id, s) select i, count(d) as n, round(sum(d), 5) as sum_d, round(max(d), 5) as max_d from p group by i""")
+def dist_fisher(spark, sf_dir):
+    p = pairs.all_pairs(projection.whitened(_parts(spark, sf_dir), [0.1, 0.95], [0.9, 1.85]))
+    return p.groupBy("i").agg(F.count("d").alias("n"), F.round(F.sum("d"), 5).alias("sum_d"), F.round(F.max("d"), 5).alias("max_d"))
+
+
 # ---------------------------------------------------------------- pairs, neighbours, landmarks
 
 
@@ -370,6 +378,17 @@ def coordination_numbers(spark, sf_dir):
     return stats.coordination(atoms(spark, sf_dir), 1.5)
 
 
+@query(f"with {_A}, n as (select a.frame, a.atom, count(b.atom) as cn from a left join a b on a.frame = b.frame and a.atom <> b.atom and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) < 2.25 group by 1, 2) select r.cn::bigint as cn, count(n.cn) as count from range((select max(cn) + 1 from n)) r(cn) left join n on n.cn = r.cn group by 1")
+def coordination_histogram(spark, sf_dir):
+    return stats.coordination_histogram(stats.coordination(atoms(spark, sf_dir), 1.5))
+
+
+@query(f"with {_L}, c as (select floor((p - 0.1) / 0.8 * 16)::int as iy, floor((q - 0.1) / 0.8 * 16)::int as ix, s from l where q >= 0.1 and q < 0.9 and p >= 0.1 and p < 0.9) select iy, ix, round(min(s), 6) as least, round(avg(s), 6) as mean, count(*) as n from c group by 1, 2")
+def cell_summary(spark, sf_dir):
+    got = stats.cell_summary(lines(spark, sf_dir), "q", "p", "s", _BOX, 16, 16)
+    return got.select("iy", "ix", R6(F.col("least")).alias("least"), R6(F.col("mean")).alias("mean"), "n")
+
+
 # ---------------------------------------------------------------- scores of a map
 
 
@@ -469,6 +488,12 @@ def map_placement(spark, sf_dir):
     return projection.place_on_map(line_points(spark, sf_dir), m, f, f, 1.2, 13, 9)
 
 
+@query(f"with {_L}, n as (select q, p from l order by abs(q - 0.5137) + abs(p - 0.4971), id limit 20) select round(avg(q), 6) as q, round(avg(p), 6) as p, count(*) as n from n")
+def reference_match(spark, sf_dir):
+    got = projection.nearest_rows(line_points(spark, sf_dir), [0.5137, 0.4971], ("q", "p"))
+    return got.select(R6(F.col("q")).alias("q"), R6(F.col("p")).alias("p"), "n")
+
+
 # ---------------------------------------------------------------- graphs, grids, fields
 
 
