@@ -19,26 +19,42 @@ LOCAL, FREQUENT = 3, 64
 #: Columns of the incidence with more rows than this are multiplied with pivots first.
 LARGE = 8
 ROUNDS = 4
+#: Bytes of text whose shingles are worked out at a time.
+PIECE = 1 << 20
 #: Shingles (8 bytes each) of all sets that a join broadcasts at most.
 BROADCAST_TOKENS = 2_000_000
 
 
+def _hashed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, shingle sets and where each row's set begins, of pieces small enough for NumPy's working memory."""
+    for batch in slices(batches, most=PIECE):
+        sets, edge = shingle_sets(Words(batch.column(1)), words)
+        yield batch.column(0), sets, edge
+
+
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets, edge = shingle_sets(Words(batch.column(1)), words)
-            n = np.diff(edge)
-            code, some = sets.view(np.uint64), edge[:-1][n > 0]
-            s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            if len(some):
-                s1[n > 0] = np.add.reduceat(mix(code), some)
-                s2[n > 0] = np.add.reduceat(mix(code ^ np.uint64(0xA5A5A5A5DEADBEEF)), some)
-            value, times = np.unique(sets, return_counts=True)
+        for block in slices(batches):
+            seen = []
+            for ids, sets, edge in _hashed(iter([block]), words):
+                n = np.diff(edge)
+                code, some = sets.view(np.uint64), edge[:-1][n > 0]
+                s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                if len(some):
+                    s1[n > 0] = np.add.reduceat(mix(code), some)
+                    s2[n > 0] = np.add.reduceat(mix(code ^ np.uint64(0xA5A5A5A5DEADBEEF)), some)
+                seen.append((ids, n.astype(np.int64), s1.view(np.int64), s2.view(np.int64), sets))
+            ids = pa.concat_arrays([x[0] for x in seen])
+            n, s1, s2, sets = (np.concatenate([x[i] for x in seen]) for i in range(1, 5))
+            seen.clear()
+            sets.sort()
+            first = np.flatnonzero(np.append(True, sets[1:] != sets[:-1])[: len(sets)])
+            times = np.diff(np.append(first, len(sets)))
             often = times >= LOCAL
             lists = np.full(len(n) + 1, often.sum(), dtype=np.int32)
             lists[0] = 0
-            of = [pa.ListArray.from_arrays(lists, pa.array(x[often].astype(np.int64))) for x in (value, times)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *of], names=["id", "n", "s1", "s2", "often", "times"])
+            of = [pa.ListArray.from_arrays(lists, pa.array(x.astype(np.int64))) for x in (sets[first[often]], times[often])]
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (n, s1, s2)), *of], names=["id", "n", "s1", "s2", "often", "times"])
 
     return run
 
@@ -46,8 +62,7 @@ def _signatures(words: int):
 def _prefixes(words: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = frequent.value
-        for batch in slices(batches):
-            sets, edge = shingle_sets(Words(batch.column(1)), words)
+        for column, sets, edge in _hashed(batches, words):
             n = np.diff(edge)
             row = np.repeat(np.arange(len(n)), n)
             if len(last) and len(sets):
@@ -56,7 +71,7 @@ def _prefixes(words: int, frequent):
                 sets = sets[order]
             length = n - (ABOVE * n + BELOW - 1) // BELOW + 1
             take = np.arange(len(sets)) - np.repeat(edge[:-1], n) < length[row]
-            ids = batch.column(0).take(pa.array(row[take]))
+            ids = column.take(pa.array(row[take]))
             yield pa.RecordBatch.from_arrays([pa.array(sets[take]), ids, pa.array(n[row[take]])], names=["token", "id", "n"])
 
     return run
@@ -64,9 +79,8 @@ def _prefixes(words: int, frequent):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets, edge = shingle_sets(Words(batch.column(1)), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(sets))], names=["id", "tokens"])
+        for ids, sets, edge in _hashed(batches, words):
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(sets))], names=["id", "tokens"])
 
     return run
 
