@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chartwork.llm.common import small, written
+
 SLOTS = 8192
 
 
@@ -111,7 +113,21 @@ def assign_shards(docs: DataFrame, slot_map: SlotMap, key: str = "doc_id", text:
     return docs.withColumn("virtual_slot", virtual_slot(key, text, n)).withColumn("shard", F.get(lookup, F.col("virtual_slot")))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text", n_slots: int = SLOTS, maps_path: str | None = None) -> DataFrame:
+def _placed(light: DataFrame, slot: Column, slot_map: SlotMap) -> DataFrame:
+    return light.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        slot.cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+        F.lit(slot_map.version).alias("map_version"),
+    )
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text", n_slots: int = SLOTS, maps_path: str | None = None, order: tuple[str, str] | None = None) -> DataFrame:
     """Every row's shard under the ``bytes`` law: sizes of shards are near equal.
 
     Records hash into ``n_slots`` virtual slots; the first map deals slots in turn, and its edited second version
@@ -119,11 +135,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", te
     plus the rows of the shard's earlier slots, so that no task holds a whole shard. Both versions are kept at
     ``maps_path`` if that is given.
 
+    ``order`` names two columns that order all rows: a run of rows, and the place in it. Then ``slot`` follows that order
+    in each shard, by row numbers inside each run's part of a shard plus the shard's rows in earlier runs.
+
     A null or empty text has size 16 and crc 0. Rows of one key share a slot and are numbered in the order of size and
     crc; rows equal in all are interchangeable. An empty table gives an empty result. Other columns are left out.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(order or (), ("_run", "_at"), strict=False)])
     first = SlotMap.initial(n_shards, n_slots)
     load, rows = slot_totals(docs, n_slots=n_slots)
     second = first.rebalanced(load)
@@ -136,7 +155,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", te
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         "shard",
         "virtual_slot",
+        *(["_run", "_at"] if order else []),
     )
+    if order:
+        runs = light.groupBy("shard", "_run").agg(F.count("*").alias("_n"))
+        earlier = F.sum("_n").over(Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+        runs = written(runs.select("shard", "_run", F.coalesce(earlier, F.lit(0)).alias("_before")), "runs")
+        inside = F.row_number().over(Window.partitionBy("shard", "_run").orderBy("_at"))
+        light = light.withColumn("_in", inside).join(small(runs), ["shard", "_run"])
+        return _placed(light, F.col("_before") + F.col("_in") - 1, second)
     # the rows of the earlier slots of each slot's shard
     before, seen = np.zeros(n_slots, dtype=np.int64), np.zeros(n_shards, dtype=np.int64)
     for i, s in enumerate(second.shard):
@@ -144,17 +171,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", te
         seen[s] += rows[i]
     base = F.get(F.from_json(F.lit(str(before.tolist())), "array<bigint>"), F.col("virtual_slot"))
     inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32"))
-    return light.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "shard",
-        (base + inside - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        "virtual_slot",
-        F.lit(second.version).alias("map_version"),
-    )
+    return _placed(light, base + inside - 1, second)
 
 
 def write_shards(docs: DataFrame, slot_map: SlotMap, path: str, key: str = "doc_id", text: str = "text") -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chartwork.llm.common import written
 from chartwork.llm.decontamination import drop_leaks
@@ -11,6 +12,9 @@ from chartwork.llm.langid import fit_languages, identify
 from chartwork.llm.mixing import mixed
 from chartwork.llm.sharding import shard_documents
 
+#: Rows of one file that are numbered together, at most.
+RUN_ROWS = 50_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language go on; those without a letter (``und``) go."""
@@ -30,13 +34,24 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the interleaved order of their sources."""
+    """All documents, in the interleaved order of their sources: that of the files by name, and of rows in each file."""
     return mixed(docs)
 
 
+def read_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_run`` and ``_at``, which order the rows as their files do; rows from elsewhere are written first.
+
+    A scan packs files by size, so the order of files is by name; runs are cut so that none grows with its file.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = written(docs, "ordered")
+    docs = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return docs.withColumn("_run", F.struct("_file", F.expr(f"_at div {RUN_ROWS}").alias("part"))).drop("_file")
+
+
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and its slot there."""
-    return shard_documents(docs, n_shards=40)
+    """Every document's shard and its slot there; slots follow the order in which mixing wrote the documents."""
+    return shard_documents(read_order(docs), n_shards=40, order=("_run", "_at"))
 
 
 STAGES = [

@@ -518,3 +518,23 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     load, n = slot_totals(docs)
     assert n.sum() == len(out) and load.sum() == sum(len((t or "").encode()) + 16 for _, t in stay)
+
+
+def test_mixing_decides_the_slots(spark, table):
+    import corpus_pipeline
+    from chartwork.llm.common import written
+
+    def sharded(df):
+        out = defaultdict(list)
+        for r in sorted(corpus_pipeline.sharding(spark, df, "").collect(), key=lambda r: r["slot"]):
+            assert r["slot"] == len(out[r["shard"]])
+            out[r["shard"]].append(r["doc_id"])
+        return out
+
+    rows = table.where("doc_id is not null").dropDuplicates(["doc_id"])
+    place = {r["doc_id"]: (r["slot"], r["place"]) for r in mix_sources(rows).collect()}
+    with_stage, without = sharded(written(corpus_pipeline.mixing(spark, rows, ""), "mixed")), sharded(written(rows.orderBy("doc_id"), "plain"))
+    assert all(v == sorted(v, key=place.get) for v in with_stage.values())
+    assert {k: set(v) for k, v in with_stage.items()} == {k: set(v) for k, v in without.items()} and with_stage != without
+    assert sharded(corpus_pipeline.mixing(spark, rows, "")) == with_stage
+    assert corpus_pipeline.sharding(spark, frame(spark, []), "").count() == 0
