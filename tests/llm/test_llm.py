@@ -23,7 +23,7 @@ from chartwork.llm.fingerprints import canonical, digest, edited_text, fingerpri
 from chartwork.llm.jaccard import jaccard_components, near_duplicates_dropped
 from chartwork.llm.langid import fit_languages, identify, predict_languages
 from chartwork.llm.linededup import dedup_lines
-from chartwork.llm.mixing import integer_weights, mix_sources, mixed, phases, schedule
+from chartwork.llm.mixing import exact_weights, integer_weights, mix_sources, mixed, phases, pieces, schedule
 from chartwork.llm.queries import ORACLES, QUERIES
 from chartwork.llm.sharding import SlotMap, shard_documents, slot_totals
 from chartwork.llm.substrings import align, chain, repeated_passages
@@ -394,6 +394,42 @@ def test_phases_cover_all_blocks():
     assert plan[-1][3] == ["b"]
 
 
+def test_pieces_keep_the_exact_share():
+    target = {"hot": 139.58, **{f"s{i}": 45.29 for i in range(19)}, "rare": 0.01}
+    blocks = {s: int(40 * w) + 1 for s, w in target.items()}
+    at: dict[int, str] = {}
+    have = Counter()
+    for piece in pieces(blocks, exact_weights(target), 1000):
+        for s, (first, own) in piece.items():
+            assert first == have[s]
+            have[s] += len(own)
+            at |= dict.fromkeys(own, s)
+    assert have == blocks and sorted(at) == list(range(sum(blocks.values())))
+    left, run, t, whole = dict(blocks), Counter(), 0, sum(target.values())
+    for slot in range(len(at)):
+        run[at[slot]] += 1
+        t += 1
+        assert all(abs(run[x] - target[x] * t / whole) < 1 for x in left)
+        left[at[slot]] -= 1
+        if not left[at[slot]]:
+            del left[at[slot]]
+            run, t, whole = Counter(), 0, sum(target[x] for x in left)
+
+
+def test_rare_source_keeps_its_share(spark, monkeypatch):
+    monkeypatch.setattr("chartwork.llm.mixing.CHUNK_BLOCKS", 64)
+    monkeypatch.setattr("chartwork.llm.mixing.PIECE_SLOTS", 150)
+    monkeypatch.setattr("chartwork.llm.mixing.pieces", lambda b, w: pieces(b, w, 150))
+    rows = [(i, "x", "en", "b" if i < 3 else "a", 1) for i in range(4003)]
+    out = mix_sources(frame(spark, rows), {"a": 0.99999, "b": 0.00001}, block_rows=1).collect()
+    assert sorted(r["slot"] for r in out) == list(range(4003))
+    run = Counter()
+    for t, r in enumerate(sorted(out, key=lambda r: r["slot"]), 1):
+        assert r["block"] == run[r["source"]]
+        run[r["source"]] += 1
+        assert run["a"] == 4000 or abs(run["b"] - 0.00001 * t) < 1
+
+
 # ---------------------------------------------------------------- 9 Jaccard join
 
 
