@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from chartwork.llm.common import mix, slices, text_bytes
 
-#: Labelled rows to learn from, about: the classifier is fitted on a sample by hash of this expected size.
-TRAIN_ROWS = 20_000
+#: Labelled rows of a language to learn from, about: a sample by hash of this expected size; all rows of a rarer language.
+TRAIN_ROWS = 5_000
+#: Bytes of text worked on at a time, and n-grams of them.
+PIECE, BLOCK = 1 << 20, 1 << 19
 #: Bit positions of the filters, and positions set by one n-gram.
 POSITIONS, HASHES = 1 << 20, 3
 #: Bytes of one n-gram.
@@ -35,33 +37,33 @@ _END = "\x01"
 _LETTER[1] = True
 
 
-def text_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams of each row (uint32) and where each row's begin, with the end last.
+def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each row that n-grams are made of, and where each row's begin, with the end last.
 
     Text is lower-cased; each run of other bytes than letters counts as one space.
     """
     ends = pa.scalar(_END, column.type)
     raw, at = text_bytes(pc.binary_join_element_wise(ends, pc.utf8_lower(column.fill_null("")), ends, ends, pa.scalar("", column.type)))
     letter = _LETTER[raw]
-    row_start = np.zeros(len(raw) + 1, dtype=bool)
-    row_start[at] = True
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    kept = np.flatnonzero(keep | row_start[:-1])
-    seq = np.where(letter[kept], raw[kept], 32).astype(np.uint32)
-    edge = np.searchsorted(kept, at)
-    n = len(seq) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-    code = seq[:n].copy()
-    for i in range(1, GRAM):
-        code = (code << np.uint32(8)) | seq[i : i + n]
-    ok = np.ones(n, dtype=bool)
-    for i in range(1, GRAM):  # not over the end of a row
-        cut = edge - i
-        ok[cut[(cut >= 0) & (cut < n)]] = False
-    where = np.flatnonzero(ok)
-    return code[where], np.searchsorted(where, edge)
+    keep[at[:-1]] = True
+    seq = np.where(letter, raw, np.uint8(32))[keep]
+    return seq, np.append(0, np.cumsum(np.add.reduceat(keep, at[:-1], dtype=np.int64))) if len(at) > 1 else at
+
+
+def gram_blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of the n-grams of the rows (uint32) and the row of each, at most BLOCK at a time, however long a row is."""
+    seq, edge = _sequences(column)
+    last = len(seq) - GRAM + 1
+    for lo in range(0, last, BLOCK):
+        n = min(BLOCK, last - lo)
+        code = seq[lo : lo + n].astype(np.uint32)
+        for i in range(1, GRAM):
+            code = (code << np.uint32(8)) | seq[lo + i : lo + i + n]
+        row = np.searchsorted(edge, np.arange(lo, lo + n), side="right") - 1
+        whole = np.arange(lo, lo + n) + GRAM <= edge[row + 1]  # not over the end of a row
+        yield code[whole], row[whole]
 
 
 @dataclass(frozen=True)
@@ -86,19 +88,17 @@ class LanguageFilters:
 
     def shares(self, column: pa.Array) -> np.ndarray:
         """Rows x languages: share of a text's n-grams in each language's filter, corrected for false positives."""
-        grams, edge = text_grams(column)
-        count = np.diff(edge)
-        found = np.full(len(grams), ~np.uint64(0))
-        for at in _positions(grams, len(self.masks)):
-            found &= self.masks[at]
-        out = np.zeros((len(count), len(self.languages)))
-        some = np.flatnonzero(count)
+        rows = len(column)
+        count, seen = np.zeros(rows), np.zeros((rows, len(self.languages)))
+        for grams, row in gram_blocks(column):
+            found = np.full(len(grams), ~np.uint64(0))
+            for at in _positions(grams, len(self.masks)):
+                found &= self.masks[at]
+            count += np.bincount(row, minlength=rows)
+            for i in range(len(self.languages)):
+                seen[:, i] += np.bincount(row[(found >> np.uint64(i) & np.uint64(1)) == 1], minlength=rows)
         wrong = self.false_positive()
-        for i in range(len(self.languages) if len(some) else 0):
-            bit = (found >> np.uint64(i) & np.uint64(1)).astype(np.int32)
-            seen = np.add.reduceat(bit, edge[:-1][some]) / count[some]
-            out[some, i] = np.clip((seen - wrong[i]) / max(1e-9, 1 - wrong[i]), 0, 1)
-        return out
+        return np.clip((seen / np.maximum(count, 1)[:, None] - wrong) / np.maximum(1e-9, 1 - wrong), 0, 1)
 
 
 def _positions(grams: np.ndarray, positions: int) -> Iterator[np.ndarray]:
@@ -109,13 +109,12 @@ def _positions(grams: np.ndarray, positions: int) -> Iterator[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        grams, edge = text_grams(batch.column(1))
+    for batch in slices(batches, most=PIECE):
         lang = np.array(batch.column(0).to_pylist(), dtype=object)
-        row = np.repeat(np.arange(len(lang)), np.diff(edge))
-        for name in sorted(set(lang)):
-            code, n = np.unique(grams[(lang == name)[row]], return_counts=True)
-            yield pa.record_batch([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        for grams, row in gram_blocks(batch.column(1)):
+            for name in sorted(set(lang[np.unique(row)])):
+                code, n = np.unique(grams[(lang == name)[row]], return_counts=True)
+                yield pa.record_batch([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def is_held_out(key: str = "doc_id") -> F.Column:
@@ -124,21 +123,22 @@ def is_held_out(key: str = "doc_id") -> F.Column:
 
 
 def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> LanguageFilters:
-    """Filters learned from text and language of a hash sample of about ``train_rows`` labelled rows not held out.
+    """Filters learned from text and language of a hash sample of labelled rows not held out, ``train_rows`` a language.
 
     Only n-grams above SHARE come to the driver: at most 1 / SHARE a language.
     """
     spark = docs.sparkSession
     fold = docs.where(F.col(lang).isNotNull() & ~is_held_out(key))
-    labelled = fold.count()
     sample = fold.where(F.col(text).isNotNull())
-    if labelled > train_rows:
-        sample = sample.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < int((1 << 20) * train_rows / labelled))
+    sizes = dict(sample.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect())
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; one filter tells no more apart")
+    for name, n in sorted(sizes.items()):
+        if n > train_rows:
+            sample = sample.where((F.col(lang) != name) | (F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < int((1 << 20) * train_rows / n)))
     counts = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = tuple(sorted(totals))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; one filter tells at most {MOST_LANGUAGES} apart")
     if not languages:
         return LanguageFilters((), np.zeros(POSITIONS, dtype=np.uint64))
     table = spark.createDataFrame([(x, i, float(totals[x])) for i, x in enumerate(languages)], "lang string, i int, total double")
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> D
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) added.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned; ties go to the first
-    language by name.
+    language by name. An empty table gives an empty one; the columns of ``docs`` stay, but for any of these two names.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((filters.languages, filters.masks))  # 8 MB, whatever the data
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageFilters(*shared.value)
-        for batch in slices(batches, column):
+        for batch in slices(batches, column, PIECE):
             texts = batch.column(batch.schema.get_field_index(column))
             # also for scripts whose letters the n-grams don't separate: any Unicode letter counts
             letters = pc.match_substring_regex(texts.fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
