@@ -12,24 +12,38 @@ from chartwork.llm.langid import fit_languages, identify
 from chartwork.llm.mixing import mixed
 from chartwork.llm.sharding import shard_documents
 
+#: Least part of a text's n-grams that the predicted language's filter must have.
+LEAST_SCORE = 0.1
 #: Rows of one file that are numbered together, at most.
 RUN_ROWS = 50_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language go on; those without a letter (``und``) go."""
+    """Documents in one of the learned languages go on.
+
+    Those go whose text is null or has no letter (``und``), and those of which the filter of the predicted language
+    has less than LEAST_SCORE of the n-grams: they are in none of them. If no row has a language, nothing is learned
+    and only texts without a letter go. An empty table gives an empty one; rows of a null doc_id are judged alike.
+    """
     names = docs.columns
-    found = identify(docs, fit_languages(docs))
-    return found.where("lang_pred <> 'und'").select(*names)
+    filters = fit_languages(docs)
+    if not filters.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs.toDF(*[f"_{i}" for i in range(len(names))]), filters, text=f"_{names.index('text')}")
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    return kept.toDF(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays."""
+    """One document of each group of linked documents stays, that of the least doc_id.
+
+    A text without words, and a row without doc_id, is in no group and stays; an empty table gives an empty one.
+    """
     return near_duplicates_dropped(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; a null or empty text holds none and stays."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
