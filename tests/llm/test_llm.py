@@ -336,6 +336,38 @@ def test_extraction(spark):
     assert extract_text(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_attributes_are_read_whole():
+    def within(x):
+        return main_blocks(f"<body><nav>menu</nav><article>{x}</article><footer>f</footer></body>")
+
+    assert within('<p title="hidden gems">a</p><p data-id="related">b</p><p data-role="menu">c</p>') == ["a", "b", "c"]
+    assert within('<p>x <a href="https://h/?id=share">a</a> <a href="/t?hidden">b</a></p>') == ["x a b"]
+    assert within('<section class="notice">a</section><table class="widget"><tr><td>b</td></tr></table>') == ["a", "b"]
+    gone = ('class="notice"', 'class="x ad-slot-2"', "class='share-buttons'", "class=reader-comments", "hidden", 'aria-hidden="true"', 'style="display: none"', 'id="related-posts"')
+    assert within("<p>a</p>" + "".join(f"<div {x}>gone</div>" for x in gone)) == ["a"]
+    assert main_blocks('<body><div class="share-price">a</div><div class="main-nav">gone</div></body>') == ["a"]
+    # a teaser is no article; an element left open doesn't swallow one
+    assert main_blocks("<main>real text<aside class=related><article>teaser</article></aside></main>") == ["real text"]
+    assert main_blocks("<body><div>a longer real text</div><aside><article>teaser</article></aside></body>") == ["a longer real text"]
+    assert main_blocks("<body><nav><a>m</a><article><p>whole article text</p></article></body>") == ["whole article text"]
+
+
+def test_hosts_without_articles(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for host in range(3):
+        furniture = [sentence(rng, n, 10**6) for n in (7, 12, 30)]
+        for i in range(6):
+            own = [sentence(rng, 15, 10**6) for _ in range(3)]
+            comment = "<!-- <article> -->" if i == 0 else "<script>x = '<article>'</script>" if i == 1 else ""
+            parts = [furniture[0], own[0], furniture[1] + " " + own[1], own[2], furniture[2]]
+            page = 100 * host + i
+            rows.append((page, f"https://h{host}.org/{i}", comment + "".join(f"<div>{x}</div>" for x in parts)))
+            want[page] = "\n".join(own)
+    found = extract_text(frame(spark, rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in found.collect()} == want
+
+
 def test_extraction_of_given_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     for r in rows:
