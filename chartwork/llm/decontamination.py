@@ -18,6 +18,8 @@ SIMILARITY, MIN_WORDS = 0.8, 5
 REPEATS, BITS = 24, 2
 #: Words of benchmark items that go to executors at once (8 bytes each and their indexes); more go in blocks.
 BLOCK_WORDS = 1_000_000
+#: Bytes of text worked on at a time.
+PIECE = 1 << 20
 _PAD = np.uint64(0x5BD1E995)
 _STEP = 1 << 20
 
@@ -199,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            for batch in slices(batches):
+            for batch in slices(batches, most=PIECE):
                 got = items.matches(batch.column(1))
                 row, item, first, n, edits = (list(x) for x in zip(*got, strict=True)) if got else ([],) * 5
                 yield pa.RecordBatch.from_arrays(
@@ -229,7 +231,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_k
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, column):
+            for batch in slices(batches, column, PIECE):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[r for r, *_ in shared.value.matches(batch.column(batch.schema.get_field_index(column)))]] = False
                 yield batch.filter(pa.array(clean))
