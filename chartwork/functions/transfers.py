@@ -54,6 +54,61 @@ class Transfer:
         raise ValueError(f"unknown transfer {self.family}")
 
 
+    def slope(self, x: Column | str) -> Column:
+        """The derivative, JVM-side for all families; null at 0 for ``warp``, which has none there."""
+        x = F.col(x) if isinstance(x, str) else x
+        x = x.cast("double")
+        p = self.params
+        if self.family == "identity":
+            return F.when(x.isNotNull(), F.lit(1.0))
+        if self.family == "sigmoid":
+            return 2 * x / (p[0] * p[0]) / F.pow(1 + F.pow(x / p[0], 2), 2)
+        if self.family == "compress":
+            return 1 / (p[0] * F.pow(1 + x / p[0], 2))
+        if self.family == "xsigmoid":
+            return _xsigmoid_slope(x, *p)
+        if self.family == "gamma":
+            s, n = p
+            z = F.pow(x / s, 2) / 2
+            return F.when((x == 0) & F.lit(n > 1), 0.0).otherwise(F.pow(z, n / 2 - 1) * F.exp(-z) * x / (s * s * math.gamma(n / 2)))
+        if self.family == "imq":
+            return _imq_slope(x, p[0])
+        if self.family == "asinh":
+            return 1 / (2 * math.asinh(1) * p[0] * F.sqrt(1 + F.pow(x / p[0], 2)))
+        if self.family == "twoscale":
+            s, a, b, wide = p
+            return F.when(x <= s, _xsigmoid_slope(x, s, a, b)).otherwise(Transfer("asinh", (wide,)).slope(x))
+        if self.family == "multiscale":
+            total = F.lit(0.0)
+            for s in p:
+                total = total + _imq_slope(x, s)
+            return total / len(p)
+        if self.family == "warp":
+            s, a_hi, b_hi, a_lo, b_lo = p
+            left, ratio = 1 - _xsigmoid(x, s, a_hi, b_hi), a_lo / b_lo
+            g = (F.pow(left, -ratio) - 1) / (2**ratio - 1)
+            rise = ratio * F.pow(left, -ratio - 1) * _xsigmoid_slope(x, s, a_hi, b_hi) / (2**ratio - 1)
+            return F.when(x != 0, s / a_lo * F.pow(g, 1 / a_lo - 1) * rise)
+        raise ValueError(f"unknown transfer {self.family}")
+
+    def checked(self, x: Column | str) -> Column:
+        """(f, slope) as one struct; an error unless x is at least 0 and both are finite and at least 0."""
+        x = F.col(x) if isinstance(x, str) else x
+        f, slope = self.column(x), self.slope(x)
+        good = (x >= 0) & (f >= 0) & (f < float("inf")) & (slope >= 0) & (slope < float("inf"))
+        return F.when(good, F.struct(f.alias("f"), slope.alias("slope"))).otherwise(F.raise_error(F.concat(F.lit("no transfer of "), x.cast("string"))))
+
+
+def _xsigmoid_slope(x: Column, s: float, a: float, b: float) -> Column:
+    c = 2 ** (a / b) - 1
+    return b * c / s * F.pow(x / s, a - 1) * F.pow(1 + c * F.pow(x / s, a), -b / a - 1)
+
+
+def _imq_slope(x: Column, s: float) -> Column:
+    c = s / math.sqrt(3)
+    return c * x / F.pow(c * c + x * x, 1.5)
+
+
 def _xsigmoid(x: Column, s: float, a: float, b: float) -> Column:
     return 1 - F.pow(1 + (2 ** (a / b) - 1) * F.pow(x / s, a), -b / a)
 

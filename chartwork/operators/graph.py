@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chartwork-"))
-    return df.checkpoint()
+from chartwork.operators.tables import kept
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component): the least id reachable. Labels spread over edges and then jump along labels, halving paths."""
-    ways = _cut(edges.select(F.col("i").alias("a"), F.col("j").alias("b")).unionByName(edges.select(F.col("j").alias("a"), F.col("i").alias("b"))).distinct())
-    now = _cut(nodes.select("id", F.col("id").alias("c")))
+    ways = kept(edges.select(F.col("i").alias("a"), F.col("j").alias("b")).unionByName(edges.select(F.col("j").alias("a"), F.col("i").alias("b"))).distinct())
+    now = kept(nodes.select("id", F.col("id").alias("c")))
     for _ in range(rounds):
         seen = ways.join(now.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
         step = now.join(seen, now["id"] == seen["a"], "left").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was"))
         jump = step.select(F.col("id").alias("p"), F.col("c").alias("pc"))
-        new = _cut(step.join(jump, F.col("c") == F.col("p")).select("id", F.least("c", "pc").alias("c"), "was"))
+        new = kept(step.join(jump, F.col("c") == F.col("p")).select("id", F.least("c", "pc").alias("c"), "was"))
         if new.where("c <> was").isEmpty():
             return new.select("id", F.col("c").alias("component"))
         now = new.select("id", "c")
@@ -50,10 +42,10 @@ def basins(costs: DataFrame, energy: DataFrame, rounds: int = 40) -> DataFrame:
     """
     ways = costs.select(F.col("i").alias("a"), F.col("j").alias("b"), "ei", "ej", "height").unionByName(costs.select(F.col("j").alias("a"), F.col("i").alias("b"), F.col("ej").alias("ei"), F.col("ei").alias("ej"), "height"))
     down = ways.where("ej < ei").groupBy("a").agg(F.min(F.struct("height", "ej", "b")).alias("m")).select(F.col("a").alias("id"), F.col("m.b").alias("p"))
-    now = _cut(energy.select("id").join(down, "id", "left").select("id", F.coalesce("p", "id").alias("p")))
+    now = kept(energy.select("id").join(down, "id", "left").select("id", F.coalesce("p", "id").alias("p")))
     for _ in range(rounds):
         up = now.select(F.col("id").alias("k"), F.col("p").alias("q"))
-        new = _cut(now.join(up, F.col("p") == F.col("k")).select("id", F.col("q").alias("p"), F.col("p").alias("was")))
+        new = kept(now.join(up, F.col("p") == F.col("k")).select("id", F.col("q").alias("p"), F.col("p").alias("was")))
         if new.where("p <> was").isEmpty():
             return new.select("id", F.col("p").alias("basin"))
         now = new.select("id", "p")
@@ -65,14 +57,14 @@ def committor(weights: DataFrame, sources: list[int], sinks: list[int], rounds:
 
     Each sweep is one join and one sum by key; the lineage is cut each ``every`` sweeps.
     """
-    ways = _cut(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), "w").unionByName(weights.select(F.col("j").alias("a"), F.col("i").alias("b"), "w")))
+    ways = kept(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), "w").unionByName(weights.select(F.col("j").alias("a"), F.col("i").alias("b"), "w")))
     fixed = F.when(F.col("id").isin(sources), 0.0).when(F.col("id").isin(sinks), 1.0)
     now = ways.select(F.col("a").alias("id")).distinct().select("id", F.coalesce(fixed, F.lit(0.5)).alias("q"))
     for r in range(rounds):
         mean = ways.join(now.select(F.col("id").alias("b"), "q"), "b").groupBy(F.col("a").alias("id")).agg((F.sum(F.col("w") * F.col("q")) / F.sum("w")).alias("m"))
         now = mean.select("id", F.coalesce(fixed, F.col("m")).alias("q"))
         if (r + 1) % every == 0:
-            now = _cut(now)
+            now = kept(now)
     return now
 
 
@@ -119,3 +111,104 @@ def inverse_distance_fill(grid: DataFrame, sites: DataFrame, k: int, cut: float,
     w = 1 / F.pow(F.col("d") + 1e-9, power)
     got = near.groupBy("iy", "ix").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("f"))
     return grid.select("iy", "ix").join(got, ["iy", "ix"], "left")
+
+
+def components_at(nodes: DataFrame, costs: DataFrame, level: float) -> DataFrame:
+    """Components of the graph whose edges have a height of at most ``level``."""
+    return components(nodes, costs.where(F.col("height") <= level))
+
+
+def metropolis(costs: DataFrame, temperature: float) -> DataFrame:
+    """(i, j, w) of directed edges: 1 downhill, exp(-(E_j - E_i) / T) uphill, at least 1e-300."""
+    ways = costs.select("i", "j", "ei", "ej").unionByName(costs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("ej").alias("ei"), F.col("ei").alias("ej")))
+    rise = F.greatest(F.col("ej") - F.col("ei"), F.lit(0.0))
+    return ways.select("i", "j", F.greatest(F.exp(-rise / temperature), F.lit(1e-300)).alias("w"))
+
+
+def adjacency(costs: DataFrame, temperature: float, mode: str = "height") -> DataFrame:
+    """(i, j, w) of undirected edges: exp(-(height - least energy) / T), exp(-cost / T) or 1 / d, by ``mode``.
+
+    ``mode`` is ``height``, ``cost`` or ``inverse``; distances count as 1e-6 at least, weights as 1e-300.
+    """
+    if mode == "inverse":
+        w = 1 / F.greatest("d", F.lit(1e-6))
+    elif mode == "cost":
+        w = F.exp(-F.col("cost") / temperature)
+    elif mode == "height":
+        least = costs.agg(F.min(F.least("ei", "ej")).alias("_e0"))
+        costs = costs.crossJoin(F.broadcast(least))  # one row
+        w = F.exp(-(F.col("height") - F.col("_e0")) / temperature)
+    else:
+        raise ValueError(f"not a mode: {mode!r}")
+    return costs.select("i", "j", F.greatest(w, F.lit(1e-300)).alias("w"))
+
+
+def relative_energy(q: DataFrame, energy: DataFrame) -> DataFrame:
+    """(id, q, e): a coordinate with the energy scaled to [0, 1]; 0 where all energies are equal."""
+    span = energy.agg(F.min("e").alias("_lo"), F.max("e").alias("_hi"))
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("e") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    return q.join(energy, "id").crossJoin(F.broadcast(span)).select("id", "q", scaled.alias("e"))  # one row
+
+
+def filled_holes(cells: DataFrame, nx: int, ny: int) -> DataFrame:
+    """(iy, ix, hole): the given cells and the empty ones of an nx x ny grid that no 4-connected way joins to its border."""
+    every = cells.sparkSession.range(nx * ny).select((F.col("id") / nx).cast("int").alias("iy"), (F.col("id") % nx).cast("int").alias("ix"))
+    empty = every.join(cells.select("iy", "ix"), ["iy", "ix"], "left_anti")
+    found = kept(bodies(empty, nx))
+    border = (F.col("iy") == 0) | (F.col("ix") == 0) | (F.col("iy") == ny - 1) | (F.col("ix") == nx - 1)
+    open_ = found.where(border).select("body").distinct()
+    holes = found.join(open_, "body", "left_anti").select("iy", "ix", F.lit(True).alias("hole"))
+    return cells.select("iy", "ix", F.lit(False).alias("hole")).unionByName(holes)
+
+
+def connected_surface(surface: DataFrame, nx: int, ny: int, floor: float) -> DataFrame:
+    """(iy, ix, f) of a surface with rho: the largest body of the cells above ``floor`` of the top, its holes filled with 0."""
+    top = surface.agg(F.max("rho").alias("_top"))
+    mask = kept(surface.crossJoin(F.broadcast(top)).where(F.col("rho") > floor * F.col("_top")).select("iy", "ix"))  # one row
+    body = largest_body(filled_holes(mask, nx, ny), nx)
+    return body.join(surface.select("iy", "ix", F.coalesce("f", F.lit(0.0)).alias("_f")), ["iy", "ix"]).join(mask.withColumn("_own", F.lit(True)), ["iy", "ix"], "left").select("iy", "ix", F.when(F.col("_own"), F.col("_f")).otherwise(0.0).alias("f"))
+
+
+#: Cells that a grid may have to be broadcast.
+CELLS = 1 << 18
+
+
+def _on_grid(grid: DataFrame, sites: DataFrame) -> DataFrame:
+    """Every site with every cell of a grid (iy, ix, x, y) of bounded size; d2 is their squared distance."""
+    if grid.limit(CELLS + 1).count() > CELLS:
+        raise ValueError(f"more than {CELLS} cells")
+    met = sites.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "v").crossJoin(F.broadcast(grid.select("iy", "ix", "x", "y")))
+    return met.withColumn("d2", F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
+
+
+def paraboloid_envelope(grid: DataFrame, sites: DataFrame, stiffness: float) -> DataFrame:
+    """(iy, ix, f): the least of value + stiffness * squared distance over all sites (x, y, v)."""
+    return _on_grid(grid, sites).groupBy("iy", "ix").agg(F.min(F.col("v") + stiffness * F.col("d2")).alias("f"))
+
+
+def kernel_fill(grid: DataFrame, sites: DataFrame, length: float) -> DataFrame:
+    """(iy, ix, f): the mean of all sites' values by the inverse multiquadric kernel 1 / sqrt(1 + d^2 / length^2)."""
+    w = 1 / F.sqrt(1 + F.col("d2") / (length * length))
+    return _on_grid(grid, sites).groupBy("iy", "ix").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("f"))
+
+
+def kernel_density(grid: DataFrame, sites: DataFrame, width: float) -> DataFrame:
+    """(iy, ix, rho): Gaussian kernel density of the sites, weighted by v."""
+    w = F.exp(-F.col("d2") / (2 * width * width)) * F.col("v")
+    return _on_grid(grid, sites).groupBy("iy", "ix").agg((F.sum(w) / F.sum("v") / (2 * 3.141592653589793 * width * width)).alias("rho"))
+
+
+def kernel_predict(grid: DataFrame, inducing: DataFrame, length: float, variance: float = 1.0) -> DataFrame:
+    """(iy, ix, f): the sum over inducing points (x, y, v = alpha) of alpha times the kernel: the mean of a fitted map."""
+    k = variance / F.sqrt(1 + F.col("d2") / (length * length))
+    return _on_grid(grid, inducing).groupBy("iy", "ix").agg(F.sum(k * F.col("v")).alias("f"))
+
+
+def support(grid: DataFrame, sites: DataFrame, cut: float) -> DataFrame:
+    """(iy, ix) of the cells that have a site within ``cut``: sites are binned, a cell meets those of nine bins."""
+    bin_ = lambda c: F.floor(F.col(c) / cut)
+    around = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    cells = grid.withColumn("o", F.explode(around)).withColumn("by", bin_("y") + F.col("o.dy")).withColumn("bx", bin_("x") + F.col("o.dx"))
+    known = sites.select(F.col("x").alias("sx"), F.col("y").alias("sy"), bin_("y").alias("by"), bin_("x").alias("bx"))
+    near = F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2) <= cut * cut
+    return cells.join(known, ["by", "bx"]).where(near).select("iy", "ix").distinct()

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwork.functions.metrics import euclid
+from chartwork.operators.tables import kept, numbered
 
 #: Points of one block; each pair of blocks is one group of a join.
 BLOCK = 256
@@ -61,6 +64,40 @@ def all_pairs(df: DataFrame, dist: Metric | None = None, block: int = BLOCK, mor
     return met.withColumn("d", dist("x_a", "x_b")).select(pick("id", True).alias("i"), pick("id", False).alias("j"), "d", *extra)
 
 
+def gram_pairs(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, j, d) of all pairs j < i by Euclidean distance, as matrix products of blocks in Arrow batches.
+
+    Like ``all_pairs``, but a block travels as one row. Squared distances from a product cancel where points are near
+    to each other: below 1e-4 of the squared lengths they are worked out from differences. Each pair of blocks is
+    scaled by its largest entry, so that neither squares nor sums overflow.
+    """
+    n = df.count()
+    dimension(df)
+    blocks = max(4, math.ceil(n / block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    packs = df.groupBy(own.alias("b")).agg(F.collect_list(F.struct("id", "x")).alias("rows"))  # about ``block`` rows
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    side = packs.withColumn("c", F.explode(every))
+    left = side.where("b <= c").select(F.col("b").alias("p"), F.col("c").alias("q"), F.col("rows").alias("left"))
+    right = side.where("c <= b").select(F.col("c").alias("p"), F.col("b").alias("q"), F.col("rows").alias("right"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, q, a, b in zip(batch["p"], batch["q"], batch["left"], batch["right"], strict=True):
+                ia, ib = (np.array([r["id"] for r in rows]) for rows in (a, b))
+                x, y = (np.array([r["x"] for r in rows], dtype=float) for rows in (a, b))
+                scale = max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) or 1.0
+                x, y = x / scale, y / scale
+                length = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)
+                squared = length - 2 * (x @ y.T)
+                u, v = np.nonzero(squared <= 1e-4 * length)
+                squared[u, v] = ((x[u] - y[v]) ** 2).sum(axis=1)
+                u, v = np.nonzero(ia[:, None] > ib if p == q else ia[:, None] != ib)
+                yield pd.DataFrame({"i": np.maximum(ia[u], ib[v]), "j": np.minimum(ia[u], ib[v]), "d": np.sqrt(squared[u, v]) * scale})
+
+    return left.join(right, ["p", "q"]).mapInPandas(run, "i long, j long, d double")
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("i", "j", "d").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
 
@@ -108,58 +145,83 @@ def radius_degree(pairs: DataFrame, cutoff: float, ids: DataFrame) -> DataFrame:
     return ids.select(F.col("id").alias("i")).join(near, "i", "left").select(F.col("i").alias("id"), F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def farthest_points(df: DataFrame, k: int, start: int, dist: Metric | None = None, every: int = 16) -> DataFrame:
+def farthest_points(df: DataFrame, k: int, start: int | None = None, dist: Metric | None = None, every: int = 4, weight: str | None = None, pinned: tuple[int, ...] = ()) -> DataFrame:
     """(step, id) of k points, each the farthest from those before it; ties go to the lower id.
 
-    One job a round: the last pick is a literal, the least distance so far a column. The lineage is cut each ``every``
-    rounds by checkpoint().
+    ``pinned`` ids are taken first, in their order. ``start`` is the first point otherwise; without both it is the
+    point of largest weight. With ``weight``, a column of df, a pick has the largest weight times distance. An empty
+    table gives an empty one; fewer rows than k are all taken.
+
+    One job a round: the least distance so far is a column, cut by checkpoint() each ``every`` rounds.
     """
     dim = dimension(df)
     dist = dist or (lambda a, b: euclid(a, b, dim))
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chartwork-"))
-    now = df.select("id", "x").withColumn("m", F.lit(float("inf"))).withColumn("taken", F.lit(False))
-    picks, last = [(0, start)], df.where(F.col("id") == start).first()
-    for step in range(1, k):
-        at = F.array(*[F.lit(float(v)) for v in last["x"]])
-        now = now.withColumn("_l", at).withColumn("m", F.least("m", dist("x", "_l"))).withColumn("taken", F.col("taken") | (F.col("id") == last["id"])).drop("_l")
-        if step % every == 0:
-            now = now.checkpoint()
-        best = now.where("not taken").agg(F.max_by(F.struct("id", "x"), F.struct("m", -F.col("id"))).alias("b")).first()["b"]
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    now = df.select("id", "x", w.alias("w"), F.lit(float("inf")).alias("m"), F.lit(False).alias("taken"))
+    first = list(pinned) or ([start] if start is not None else [])
+    where = {r["id"]: r for r in df.where(F.col("id").isin(first)).collect()} if first else {}
+    if missing := [i for i in first if i not in where]:
+        raise ValueError(f"no such points: {missing}")
+    picks: list[tuple[int, int]] = []
+
+    def take(row) -> None:
+        nonlocal now
+        picks.append((len(picks), row["id"]))
+        # a table of one row, not literals: the generated code is the same for all picks
+        at = F.broadcast(spark.createDataFrame([([float(v) for v in row["x"]],)], "_l array<double>"))
+        now = now.crossJoin(at).withColumn("m", F.least("m", dist("x", "_l"))).withColumn("taken", F.col("taken") | (F.col("id") == row["id"])).drop("_l")
+        if len(picks) % every == 0:
+            now = kept(now)
+
+    for i in first[:k]:
+        take(where[i])
+    while len(picks) < k:
+        gain = F.col("w") * F.least("m", F.lit(1e300))  # before any pick all distances are equal
+        best = now.where("not taken").agg(F.max_by(F.struct("id", "x"), F.struct(gain, -F.col("id"))).alias("b")).first()["b"]
         if best is None:
             break
-        last = best
-        picks.append((step, last["id"]))
+        take(best)
     return spark.createDataFrame(picks, "step int, id long")
 
 
+def random_points(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(ord, id) of k rows drawn by a hash of seed and id, the least hashes first: the same rows at any partitioning."""
+    mark = F.xxhash64(F.lit(seed), "id")
+    drawn = df.select("id", mark.alias("_h")).orderBy("_h", "id").limit(k)  # the k is the feature
+    rank = F.row_number().over(Window.orderBy("_h", "id")) - 1  # over k rows
+    return drawn.select(rank.cast("int").alias("ord"), "id")
+
+
+def staged_points(df: DataFrame, pool: int, k: int, start: int | None = None, seed: int = 0, dist: Metric | None = None) -> DataFrame:
+    """(step, id): farthest points of a pool that is drawn at random first, with its cells' masses as weights.
+
+    The weight of a pool row is the number of rows nearest to it, to the power 1/2.
+    """
+    dim = dimension(df)
+    metric = dist or (lambda a, b: euclid(a, b, dim))
+    drawn = kept(df.join(F.broadcast(random_points(df, pool, seed).select("id")), "id", "left_semi").select("id", "x"))
+    mass = voronoi(df.select("id", "x").withColumn("w", F.lit(1.0)), drawn, metric, 0.5)
+    return farthest_points(drawn.join(mass, "id"), k, start, metric, weight="weight")
+
+
+def packed(df: DataFrame, picks: DataFrame, dist: Metric) -> DataFrame:
+    """(ord, id, x, w) of picked landmarks in their order, with the number of rows nearest to each as w."""
+    rows = picks.select(F.col(picks.columns[0]).alias("ord"), "id")
+    marks = kept(df.select("id", "x").join(F.broadcast(rows), "id"))
+    cells = nearest_landmark(df.select("id", "x"), marks.select("id", "x"), dist).groupBy("nearest").agg(F.count("*").cast("double").alias("w"))
+    return marks.join(cells.withColumnRenamed("nearest", "id"), "id", "left").select("ord", "id", "x", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
+def to_all_rows(rows: DataFrame, nearest: DataFrame, values: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(id, names): values of landmarks given back to all rows by their nearest landmark (id, nearest)."""
+    own = values.select(F.col("id").alias("nearest"), *names)
+    return rows.select("id").join(nearest.select("id", "nearest"), "id").join(own, "nearest", "left").select("id", *names)
+
+
 def stride_points(df: DataFrame, k: int) -> DataFrame:
     """k points at even steps in the order of id."""
     n = df.count()
     step = max(n // max(k, 1), 1)
     # numbers by range: no window over the whole table
     return numbered(df.select("id")).where((F.col("nr") % step == 0) & (F.col("nr") < step * k)).select((F.col("nr") / step).cast("int").alias("ord"), "id")
-
-
-def numbered(df: DataFrame, key: str = "id", name: str = "nr", buckets: int = 64) -> DataFrame:
-    """``df`` with its rank by ``key``, from 0, without one task that holds all rows.
-
-    Rows fall into ranges between quantiles of the key; ranks inside a range are a window, and the ranges before it add
-    their counts.
-    """
-    bounds = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    ranged = df.withColumn("_part", part)
-    sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p] = total
-        total += sizes[p]
-    base = F.lit(0).cast("long")
-    for p, n in before.items():
-        base = F.when(F.col("_part") == p, F.lit(n).cast("long")).otherwise(base)
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return ranged.withColumn(name, base + inside).drop("_part")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwork.operators.pairs import LANDMARKS, Metric, with_landmarks
+from chartwork.operators.tables import kept
 
 
 @dataclass(frozen=True)
@@ -67,19 +68,20 @@ def principal(df: DataFrame, dim: int, k: int, x: str = "x", without: np.ndarray
 def whitened(df: DataFrame, a: list[float], b: list[float], ridge: float = 0.0) -> DataFrame:
     """Rows turned so that Euclidean distance is the pooled within-class Mahalanobis distance.
 
-    A row's class is its nearer reference, a on ties; each needs two rows. The pooled covariance, divided by the rows
-    less two, comes from one pass of sums; only its D x D inverse is worked out on the driver.
+    A row's class is its nearer reference, a on ties; a class of one row, or of none, has no spread. The pooled
+    covariance, divided by the rows less two, comes from one pass of sums a class; only its D x D inverse is
+    worked out on the driver.
     """
     dim = len(a)
     to = lambda r: sum((F.pow(F.get("x", F.lit(k)) - float(v), 2) for k, v in enumerate(r)), F.lit(0.0))
     marked = df.withColumn("_a", to(a) <= to(b))
     total, n = np.zeros((dim, dim)), 0
     for side in (True, False):
-        own = marked.where(F.col("_a") == side)
-        if own.limit(2).count() < 2:
-            raise ValueError("each reference needs two rows")
-        k, _, cov = covariance(own, dim)
-        total, n = total + cov * k, n + k
+        k, _, cov = covariance(marked.where(F.col("_a") == side), dim)
+        if k:
+            total, n = total + cov * k, n + k
+    if n < 3:
+        raise ValueError("three rows are needed")
     root = np.linalg.cholesky(np.linalg.inv(total / (n - 2) + ridge * np.eye(dim)))
     turned = [sum((F.get("x", F.lit(i)) * float(root[i, k]) for i in range(dim)), F.lit(0.0)) for k in range(dim)]
     return df.select("id", F.array(*turned).alias("x"))
@@ -198,3 +200,38 @@ def place_on_map(rows: DataFrame, landmarks: DataFrame, high, low, width: float,
             yield pd.DataFrame(out, columns=["id", "x", "y", "chi", "nearest"])
 
     return rows.select("id", "x").mapInPandas(run, "id long, x double, y double, chi double, nearest long")
+
+
+def landmark_scaling(rows: DataFrame, landmarks: DataFrame, dist: Metric, k: int) -> DataFrame:
+    """(id, y): rows on the classical-scaling map of a bounded landmark table, from their squared distances to it.
+
+    The landmarks' doubly centred squared distances are solved on the driver; a row's place is linear in its squared
+    distances less the landmarks' means (Gower's formula). Axes without variance give 0.
+    """
+    met = kept(with_landmarks(landmarks.select("id", "x"), landmarks.select("id", "x"), dist).select("id", "l_id", (F.col("d") * F.col("d")).alias("s")))
+    table = met.toPandas().pivot(index="id", columns="l_id", values="s").sort_index().sort_index(axis=1)  # at most LANDMARKS^2
+    s = table.to_numpy()
+    mean = s.mean(axis=1)
+    values, vectors = np.linalg.eigh(-0.5 * (s - mean[:, None] - mean + s.mean()))
+    order = np.argsort(-values)[:k]
+    axes = np.where(values[order] > 1e-12, vectors[:, order] / np.sqrt(np.maximum(values[order], 1e-300)), 0.0)
+    pull = [(int(i), float(m), [float(v) for v in a]) for i, m, a in zip(table.index, mean, axes, strict=True)]
+    known = rows.sparkSession.createDataFrame(pull, "l_id long, m double, a array<double>")
+    near = with_landmarks(rows.select("id", "x"), landmarks.select("id", "x"), dist).join(F.broadcast(known), "l_id")
+    term = [F.sum(-0.5 * (F.col("d") * F.col("d") - F.col("m")) * F.get("a", F.lit(c))).alias(f"y{c}") for c in range(len(order))]
+    return near.groupBy("id").agg(*term).select("id", F.array(*[f"y{c}" for c in range(len(order))]).alias("y"))
+
+
+def procrustes(df: DataFrame, a: tuple[str, ...], b: tuple[str, ...]) -> DataFrame:
+    """One row: scale and residual of the best similarity that takes the places ``b`` to the places ``a``.
+
+    From one pass of sums; the residual is the part of a's spread that is left. No spread in either gives residual 1.
+    """
+    names = [*a, *b]
+    moments = [F.covar_pop(p, q).alias(f"c_{i}_{j}") for i, p in enumerate(a) for j, q in enumerate(b)]
+    sums = df.agg(*[F.var_pop(c).alias(f"v_{i}") for i, c in enumerate(names)], *moments).first()
+    va, vb = (sum(sums[f"v_{i + off}"] or 0.0 for i in range(len(a))) for off in (0, len(a)))
+    cross = np.array([[sums[f"c_{i}_{j}"] or 0.0 for j in range(len(b))] for i in range(len(a))])
+    fit = float(np.linalg.svd(cross, compute_uv=False).sum())
+    got = (fit / vb, 1 - fit * fit / (va * vb)) if va > 0 and vb > 0 else (0.0, 1.0)
+    return df.sparkSession.createDataFrame([got], "scale double, residual double")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwork.functions.transfers import Transfer
-from chartwork.operators.pairs import both_ways, nearest_neighbours, numbered
+from chartwork.operators.pairs import both_ways, nearest_neighbours, with_landmarks
+from chartwork.operators.tables import kept, numbered
 
 
 # ---------------------------------------------------------------- scales
@@ -17,10 +18,11 @@ from chartwork.operators.pairs import both_ways, nearest_neighbours, numbered
 def ranked(pairs: DataFrame) -> DataFrame:
     """Positive finite distances with their rank ``r`` from 0 and their number ``n``."""
     good = pairs.where((F.col("d") > 0) & (F.col("d") < float("inf")))
-    n = good.count()
+    r = numbered(good.select("d"), "d", "r")
+    n = r.count()
     if n < 3:
         raise ValueError("at least three positive distances are needed")
-    return numbered(good.select("d"), "d", "r").withColumn("n", F.lit(n).cast("long"))
+    return r.withColumn("n", F.lit(n).cast("long"))
 
 
 def suggest_scale(pairs: DataFrame) -> DataFrame:
@@ -58,12 +60,73 @@ def gap_weight(a: str, b: str, tau: float) -> Column:
     return F.when(F.abs(F.col(a) - F.col(b)) <= tau, 1.0).otherwise(0.0)
 
 
-def chi_gradient(pairs: DataFrame, mix: float = 0.0) -> DataFrame:
-    """(id, gx, gy) of the stress of identity transfers: each pair pushes its two ends apart; ``pairs`` has i, j, dh, dl, xi, yi, xj, yj."""
-    push = -2 * (F.col("dh") - F.col("dl")) * ((1 - mix) + mix) / F.greatest("dl", F.lit(1e-100))
+def _push(high: Transfer, low: Transfer, mix: float) -> Column:
+    """Derivative of a pair's stress by its low distance, over that distance."""
+    bent = (high.column("dh") - low.column("dl")) * low.slope("dl") * (1 - mix)
+    return -2 * (bent + (F.col("dh") - F.col("dl")) * mix) / F.greatest("dl", F.lit(1e-100))
+
+
+def point_weights(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """``pairs`` with w = the product of the weights (id, w) of both ends."""
+    wi, wj = (weights.select(F.col("id").alias(x), F.col("w").cast("double").alias(f"_{x}")) for x in "ij")
+    return pairs.join(wi, "i").join(wj, "j").withColumn("w", F.col("_i") * F.col("_j")).drop("_i", "_j")
+
+
+def chi_by_point(pairs: DataFrame, high: Transfer, low: Transfer, mix: float = 0.0) -> DataFrame:
+    """(id, chi): the stress of each point against all others."""
+    miss = F.pow(high.column("dh") - low.column("dl"), 2) * (1 - mix) + F.pow(F.col("dh") - F.col("dl"), 2) * mix
+    ends = pairs.select(F.explode(F.array("i", "j")).alias("id"), miss.alias("m"))
+    return ends.groupBy("id").agg(F.avg("m").alias("chi"))
+
+
+def query_chi(rows: DataFrame, landmarks: DataFrame, dist, high: Transfer, low: Transfer, mix: float = 0.0) -> DataFrame:
+    """(id, chi, gx, gy) of rows (id, x, px, py) against landmarks (id, x, px, py, w), a bounded table.
+
+    A landmark in the row's own place counts in the value and the weight but gives no gradient.
+    """
+    met = with_landmarks(rows, landmarks, dist).withColumnRenamed("d", "dh")
+    dx, dy = F.col("px") - F.col("l_px"), F.col("py") - F.col("l_py")
+    met = met.withColumn("dl", F.sqrt(dx * dx + dy * dy))
+    miss = F.pow(high.column("dh") - low.column("dl"), 2) * (1 - mix) + F.pow(F.col("dh") - F.col("dl"), 2) * mix
+    push = F.when(F.col("dl") > 0, _push(high, low, mix)).otherwise(0.0)
+    total = F.when(F.sum("l_w") > 0, F.sum("l_w")).otherwise(1.0)
+    return met.groupBy("id").agg(*[(F.sum(F.col("l_w") * v) / total).alias(n) for n, v in (("chi", miss), ("gx", push * dx), ("gy", push * dy))])
+
+
+def stress_ratio(pairs: DataFrame, transfer: Transfer) -> DataFrame:
+    """One row: the sum of (F(dh) - F(dl))^2 over the sum of F(dh)^2; null if the latter is 0."""
+    f = transfer.column("dh")
+    total = F.sum(f * f)
+    return pairs.agg((F.sum(F.pow(f - transfer.column("dl"), 2)) / F.when(total > 0, total)).alias("ratio"))
+
+
+def median_scaled(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with t = asinh(d / median of the positive d)."""
+    middle = pairs.where("d > 0").agg(F.percentile("d", F.lit(0.5)).alias("_m"))
+    return pairs.crossJoin(F.broadcast(middle)).withColumn("t", F.asinh(F.col("d") / F.col("_m"))).drop("_m")  # one row
+
+
+def two_scale_targets(pairs: DataFrame, k: int) -> DataFrame:
+    """(i, j, d, near, t) with sigma the median of the positive d: t is d / sigma for pairs of which either end has the
+    other among its k nearest, asinh(d / sigma) for the others."""
+    pairs = kept(pairs.select("i", "j", "d"))
+    near = nearest_neighbours(pairs, k).select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), F.lit(True).alias("near")).distinct()
+    middle = pairs.where("d > 0").agg(F.greatest(F.coalesce(F.percentile("d", F.lit(0.5)), F.lit(1.0)), F.lit(1e-12)).alias("_m"))
+    both = pairs.join(near, ["i", "j"], "left").crossJoin(F.broadcast(middle))  # one row
+    unit = F.col("d") / F.col("_m")
+    return both.select("i", "j", "d", F.coalesce("near", F.lit(False)).alias("near"), F.when(F.col("near"), unit).otherwise(F.asinh(unit)).alias("t"))
+
+
+def chi_gradient(pairs: DataFrame, mix: float = 0.0, high: Transfer | None = None, low: Transfer | None = None, weight: str | None = None) -> DataFrame:
+    """(id, gx, gy) of the stress: each pair pushes its two ends apart; ``pairs`` has i, j, dh, dl, xi, yi, xj, yj.
+
+    Identity transfers are the default; ``weight`` names a column of pair weights.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    push = _push(high or Transfer("identity"), low or Transfer("identity"), mix) * w
     dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
     ends = F.array(F.struct(F.col("i").alias("id"), (push * dx).alias("gx"), (push * dy).alias("gy")), F.struct(F.col("j").alias("id"), (-push * dx).alias("gx"), (-push * dy).alias("gy")))
-    n = pairs.agg(F.count("*").alias("n"))
+    n = pairs.agg(F.when(F.sum(w) > 0, F.sum(w)).otherwise(1.0).alias("n"))
     sums = pairs.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.sum("e.gx").alias("gx"), F.sum("e.gy").alias("gy"))
     return sums.crossJoin(F.broadcast(n)).select("id", (F.col("gx") / F.col("n")).alias("gx"), (F.col("gy") / F.col("n")).alias("gy"))
 
@@ -117,13 +180,83 @@ def padded_box(df: DataFrame, x: str, y: str, pad: float = 0.05) -> tuple[float,
     return x0 - pad * sx, x1 + pad * sx, y0 - pad * sy, y1 + pad * sy
 
 
-def joint_histogram(pairs: DataFrame, n: int, top_high: float, top_low: float) -> DataFrame:
-    """(ih, il, count) of pairs by both distances; pairs at or beyond either ceiling are in the row of nulls."""
+def joint_histogram(pairs: DataFrame, n: int, top_high: float, top_low: float, weight: str | None = None) -> DataFrame:
+    """(ih, il, count) of pairs by both distances; pairs at or beyond either ceiling are in the row of nulls.
+
+    With ``weight``, a column of pair weights, counts are sums of it.
+    """
     slot = lambda c, top: F.floor(F.col(c) / top * n).cast("int")
     inside = (F.col("dh") < top_high) & (F.col("dl") < top_low)
-    return pairs.groupBy(F.when(inside, slot("dh", top_high)).alias("ih"), F.when(inside, slot("dl", top_low)).alias("il")).agg(F.count("*").alias("count"))
+    return pairs.groupBy(F.when(inside, slot("dh", top_high)).alias("ih"), F.when(inside, slot("dl", top_low)).alias("il")).agg((F.sum(weight) if weight else F.count("*")).alias("count"))
 
 
+def outlier_fraction(joint: DataFrame) -> DataFrame:
+    """One row: the part of a joint histogram's mass that lies beyond its ceilings; 0 of an empty one."""
+    out = F.coalesce(F.sum(F.when(F.col("ih").isNull(), F.col("count"))), F.lit(0)) / F.sum("count")
+    return joint.agg(F.coalesce(out, F.lit(0.0)).alias("fraction"))
+
+
+def clipped(surface: DataFrame, top: float, value: str = "f") -> DataFrame:
+    """Free energies kept inside [0, top]; empty cells stay null."""
+    return surface.withColumn(value, F.when(F.col(value).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(top), F.col(value)))))
+
+
+def boltzmann_surface(df: DataFrame, x: str, y: str, energy: str, box: tuple[float, float, float, float], nx: int, ny: int, kt: float, sigma: float = 0.0) -> DataFrame:
+    """Free energy of a histogram in which a row counts exp(-(E - least E) / kT), blurred by ``sigma`` cells if positive."""
+    least = df.agg(F.min(energy).alias("_e0"))
+    weighed = df.crossJoin(F.broadcast(least)).withColumn("_w", F.exp(-(F.col(energy) - F.col("_e0")) / kt))  # one row
+    hist = histogram2d(weighed, x, y, box, nx, ny, "_w")
+    return free_energy(blurred(hist, sigma) if sigma > 0 else hist, box, nx, ny, kt)
+
+
+def mean_field(df: DataFrame, x: str, y: str, value: str, box: tuple[float, float, float, float], nx: int, ny: int, sigma: float, floor: float = 1e-12) -> DataFrame:
+    """(iy, ix, mean): the blurred sum of a value over the blurred count, clipped to [0, 1]; null where the count is below ``floor``."""
+    sums = blurred(histogram2d(df, x, y, box, nx, ny, value), sigma).withColumnRenamed("count", "s")
+    both = sums.join(blurred(histogram2d(df, x, y, box, nx, ny), sigma), ["iy", "ix"])
+    mean = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s") / F.col("count")))
+    return both.select("iy", "ix", F.when(F.col("count") >= floor, mean).alias("mean"))
+
+
+def sampled(points: DataFrame, field: DataFrame, x: str, y: str, box: tuple[float, float, float, float], nx: int, ny: int, value: str = "f") -> DataFrame:
+    """``points`` with the field's value in the cell of each; null outside of the box."""
+    x0, x1, y0, y1 = box
+    placed = points.withColumn("iy", bin_of(y, y0, y1, ny)).withColumn("ix", bin_of(x, x0, x1, nx))
+    return placed.join(field.select("iy", "ix", value), ["iy", "ix"], "left").drop("iy", "ix")
+
+
+def z_scores(df: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """Columns less their mean over their population spread; a column without spread becomes 0."""
+    known = df.agg(*[F.avg(c).alias(f"_m{k}") for k, c in enumerate(axes)], *[F.stddev_pop(c).alias(f"_s{k}") for k, c in enumerate(axes)])
+    scaled = {c: F.when(F.col(f"_s{k}") > 0, (F.col(c) - F.col(f"_m{k}")) / F.col(f"_s{k}")).otherwise(F.when(F.col(c).isNotNull(), 0.0)) for k, c in enumerate(axes)}
+    return df.crossJoin(F.broadcast(known)).select(*[scaled[c].alias(c) if c in scaled else c for c in df.columns])  # one row
+
+
+def block_scaled(df: DataFrame, blocks: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """(id, x): blocks of columns as z-scores over the root of their number, joined to one array: each block weighs the same."""
+    scored = z_scores(df, tuple(c for b in blocks for c in b))
+    return scored.select("id", F.array(*[F.col(c) / math.sqrt(len(b)) for b in blocks for c in b]).alias("x"))
+
+
+def separation_over_diameter(df: DataFrame, axes: tuple[str, ...], label: str, far: DataFrame) -> DataFrame:
+    """(a, b, sep_norm): the gap of two labels' centroids over ``far``, one row with the column diameter."""
+    return separation(df, axes, label).crossJoin(F.broadcast(far)).select("a", "b", (F.col("gap") / F.col("diameter")).alias("sep_norm"))
+
+
+def transitions(kernel: DataFrame) -> DataFrame:
+    """(i, j, p) of both directions of a symmetric kernel (i, j, w) and its unit diagonal: each row sums to 1."""
+    both = kernel.select("i", "j", "w").unionByName(kernel.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    degree = both.groupBy("i").agg((F.sum("w") + 1).alias("deg"))
+    own = degree.select("i", F.col("i").alias("j"), F.lit(1.0).alias("w"))
+    return both.unionByName(own).join(degree, "i").select("i", "j", (F.col("w") / F.col("deg")).alias("p"))
+
+
+def potential(p: Column, gamma: float = 1.0, floor: float = 1e-12) -> Column:
+    """The potential of a transition probability: -ln p at gamma 1, the root of p at gamma -1, else a power between."""
+    p = F.greatest(p, F.lit(floor))
+    if gamma == 1:
+        return -F.ln(p)
+    return 2 / (1 - gamma) * F.pow(p, (1 - gamma) / 2)
+
 def blurred(hist: DataFrame, sigma: float, value: str = "count") -> DataFrame:
     """A separable Gaussian blur of (iy, ix, value): cells meet a small table of offsets, first along x, then along y.
 
@@ -169,6 +302,7 @@ def coordination(atoms: DataFrame, cutoff: float) -> DataFrame:
 
 def correlations(pairs: DataFrame) -> DataFrame:
     """One row: Pearson and Spearman of far pairs (dh at or above its upper quartile), RMS of dh - dl of near ones."""
+    pairs = kept(pairs)
     q = pairs.agg(F.percentile("dh", F.lit(0.25)).alias("q25"), F.percentile("dh", F.lit(0.75)).alias("q75"))
     both = pairs.crossJoin(F.broadcast(q))
     far = both.where("dh >= q75").select("i", "j", "dh", "dl")
@@ -193,12 +327,8 @@ def rank_uniform(df: DataFrame, axes: tuple[str, ...]) -> DataFrame:
     n = df.count()
     out = df.select("id")
     for c in axes:
-        spread = numbered(df.select("id", c), c, f"_{c}")
-        first = spread.groupBy(c).agg(F.min(f"_{c}").alias("_m"), F.count("*").alias("_n"))
-        # ranks of ties follow the id, inside the ties only
-        tied = F.row_number().over(Window.partitionBy(c).orderBy("id")) - 1
-        ranks = df.select("id", c).withColumn("_t", tied).join(first, c).select("id", ((F.col("_m") + F.col("_t")) / max(n - 1, 1)).alias(c))
-        out = out.join(ranks, "id")
+        spread = numbered(df.select("id", c), c, "_r", ("id",))
+        out = out.join(spread.select("id", (F.col("_r") / max(n - 1, 1)).alias(c)), "id")
     return out
 
 
@@ -257,17 +387,22 @@ def suggest_alpha(losses: DataFrame) -> DataFrame:
 def plugin_alpha(pairs: DataFrame, sigma: float) -> DataFrame:
     """One row: the upper median of the weights that bring each pair of differing labels to distance sigma; 0 if there are none."""
     want = pairs.where(~F.col("same") & (F.col("along2") > 0) & (F.col("d2") < sigma * sigma)).select(((sigma * sigma - F.col("d2")) / F.col("along2")).alias("v"))
-    n = want.count()
+    ranks = numbered(want, "v", "r")
+    n = ranks.count()
     if not n:
         return pairs.sparkSession.createDataFrame([(0.0, 0)], "alpha double, n_used long")
-    return numbered(want, "v", "r").where(F.col("r") == n // 2).select(F.col("v").alias("alpha"), F.lit(n).cast("long").alias("n_used"))
+    return ranks.where(F.col("r") == n // 2).select(F.col("v").alias("alpha"), F.lit(n).cast("long").alias("n_used"))
 
 
 def phate_kernel(pairs: DataFrame, k: int, decay: float) -> DataFrame:
-    """(i, j, w) of j < i: exp(-(d / bandwidth)^decay), averaged over the k-th-neighbour bandwidths of both ends; 0 beyond an exponent of 60."""
+    """(i, j, w) of j < i: exp(-(d / bandwidth)^decay), averaged over the k-th-neighbour bandwidths of both ends.
+
+    0 beyond an exponent of 60; pairs of which both sides are 0 are left out.
+    """
+    pairs = kept(pairs)
     band = nearest_neighbours(pairs, k).where(F.col("rank") == k).select("i", F.col("d").alias("b"))
     if not band.where("b <= 0").isEmpty():
         raise ValueError("a bandwidth is not positive: drop repeated points first")
     both = pairs.join(band.toDF("i", "bi"), "i").join(band.toDF("j", "bj"), "j")
     side = lambda b: F.when(F.pow(F.col("d") / F.col(b), decay) >= 60, 0.0).otherwise(F.exp(-F.pow(F.col("d") / F.col(b), decay)))
-    return both.select("i", "j", ((side("bi") + side("bj")) / 2).alias("w"))
+    return both.select("i", "j", ((side("bi") + side("bj")) / 2).alias("w")).where("w > 0")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,22 +19,22 @@ def frame_pairs(atoms: DataFrame) -> DataFrame:
     return a.join(b, "frame").where("b < a").select("frame", "a", "b", d.alias("d"))
 
 
-def switching(d: Column, r0: float = 1.5, r1: float = 1.25) -> Column:
-    """1 below r1, 0 from r0 on, and a smooth step between."""
-    y = (d - r1) / (r0 - r1)
-    return F.when(d < r1, 1.0).when((d > r1) & (d < r0), F.pow(y - 1, 2) * (2 * y + 1)).otherwise(0.0)
+def switching(d: Column, far: float = 1.5, near: float = 1.25) -> Column:
+    """1 up to ``near``, 0 from ``far`` on, and the cubic step of flat ends between."""
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (d - near) / (far - near)))
+    return 1 - t * t * (3 - 2 * t)
 
 
-def smooth_coordination(atoms: DataFrame, r0: float = 1.5, r1: float = 1.25) -> DataFrame:
+def smooth_coordination(atoms: DataFrame, far: float = 1.5, near: float = 1.25) -> DataFrame:
     """(frame, atom, cn): sums of the switching function over the other atoms."""
-    pairs = frame_pairs(atoms).select("frame", F.explode(F.array("a", "b")).alias("atom"), switching(F.col("d"), r0, r1).alias("s"))
+    pairs = frame_pairs(atoms).select("frame", F.explode(F.array("a", "b")).alias("atom"), switching(F.col("d"), far, near).alias("s"))
     sums = pairs.groupBy("frame", "atom").agg(F.sum("s").alias("cn"))
     return atoms.select("frame", "atom").join(sums, ["frame", "atom"], "left").select("frame", "atom", F.coalesce("cn", F.lit(0.0)).alias("cn"))
 
 
-def coordination_vector(atoms: DataFrame, low: int = 4, high: int = 13, sigma: float = 0.5, r0: float = 1.5, r1: float = 1.25) -> DataFrame:
+def coordination_vector(atoms: DataFrame, low: int = 4, high: int = 13, sigma: float = 0.5, far: float = 1.5, near: float = 1.25) -> DataFrame:
     """(frame, n<low> ... n<high>): Gaussian counts of atoms by smooth coordination."""
-    cn = smooth_coordination(atoms, r0, r1)
+    cn = smooth_coordination(atoms, far, near)
     return cn.groupBy("frame").agg(*[F.sum(F.exp(-0.5 * F.pow((F.col("cn") - c) / sigma, 2))).alias(f"n{c}") for c in range(low, high + 1)])
 
 
@@ -61,24 +62,54 @@ def unflattened(frames: DataFrame) -> DataFrame:
     return rows.select("frame", F.col("atom").cast("long").alias("atom"), part(1, "x"), part(2, "y"), part(3, "z"))
 
 
-def coulomb_spectrum(atoms: DataFrame, diagonal: float = 0.0) -> DataFrame:
-    """(frame, x): descending eigenvalues of the matrix of inverse distances."""
+#: Matrix entries of the frames that one task holds at a time.
+_ENTRIES = 1 << 21
+
+
+def _spectra(atoms: DataFrame, entries: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(frame, x): descending eigenvalues of the symmetric matrices that ``entries`` makes of squared distances.
+
+    Frames of equally many atoms are solved together; ``entries`` maps (frames, n, n) to the like. A matrix with an
+    entry that is not finite has no spectrum: null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for xyz in batch["xyz"]:
-                p = np.asarray(xyz).reshape(-1, 3)
-                d = np.linalg.norm(p[:, None] - p, axis=2)
-                np.fill_diagonal(d, np.inf)
-                m = 1 / d
-                np.fill_diagonal(m, diagonal)
-                out.append(np.linalg.eigvalsh(m)[::-1])
-            yield pd.DataFrame({"frame": batch["frame"], "x": out})
+            for n, rows in batch.groupby(batch["xyz"].map(len) // 3):
+                step = max(1, _ENTRIES // (n * n))
+                for lo in range(0, len(rows), step):
+                    part = rows.iloc[lo : lo + step]
+                    p = np.stack(part["xyz"].to_numpy()).reshape(len(part), n, 3)
+                    squares = (p * p).sum(axis=2)
+                    gaps = np.maximum(squares[:, :, None] + squares[:, None, :] - 2 * p @ p.transpose(0, 2, 1), 0)
+                    # the product cancels for near atoms: those are worked out from differences
+                    f, i, j = np.nonzero(gaps <= 1e-4 * (squares[:, :, None] + squares[:, None, :]))
+                    gaps[f, i, j] = ((p[f, i] - p[f, j]) ** 2).sum(axis=1)
+                    m = entries(gaps)
+                    good = np.isfinite(m).all(axis=(1, 2))
+                    found = np.full((len(part), n), np.nan)
+                    found[good] = np.linalg.eigvalsh(m[good])[:, ::-1]
+                    yield pd.DataFrame({"frame": part["frame"].to_numpy(), "x": [v if ok else None for v, ok in zip(found, good, strict=True)]})
 
     return positions(atoms).mapInPandas(run, "frame long, x array<double>")
 
 
+def coulomb_spectrum(atoms: DataFrame, diagonal: float = 0.0) -> DataFrame:
+    """(frame, x): descending eigenvalues of the matrix of inverse distances; null where two atoms are in one place."""
+
+    def inverse(gaps: np.ndarray) -> np.ndarray:
+        own = np.eye(gaps.shape[1], dtype=bool)
+        with np.errstate(divide="ignore"):
+            return np.where(own, diagonal, gaps ** -0.5)
+
+    return _spectra(atoms, inverse)
+
+
+def squared_distance_spectrum(atoms: DataFrame) -> DataFrame:
+    """(frame, x): descending eigenvalues of the matrix of squared distances."""
+    return _spectra(atoms, lambda gaps: gaps)
+
+
 def aligned_rmsd(pairs: DataFrame) -> DataFrame:
     """(i, j, rmsd) of pairs of flat coordinates xi and xj of equally many atoms, after centring and the best proper rotation."""
 
@@ -100,3 +131,84 @@ def unique_rows(df: DataFrame, x: str, digits: int, value: str) -> DataFrame:
     """(site, id, value, members): rows whose rounded arrays agree, each by the row of lowest value (then id)."""
     site = F.transform(x, lambda v: F.round(v, digits) + 0.0)
     return df.groupBy(site.alias("site")).agg(F.min(F.struct(F.col(value).alias("v"), F.col("id").alias("id"))).alias("m"), F.count("*").alias("members")).select("site", F.col("m.id").alias("id"), F.col("m.v").alias("value"), "members")
+
+
+def _tensor_norm(k: int) -> Column:
+    """Sum over all pairs of bonds of (u . v)^k, from the moments of the bonds: those of x^a y^b z^c with a + b + c = k."""
+    parts = []
+    for a in range(k + 1):
+        for b in range(k + 1 - a):
+            c = k - a - b
+            times = math.factorial(k) // (math.factorial(a) * math.factorial(b) * math.factorial(c))
+            parts.append(times * F.pow(F.sum(F.pow("ux", a) * F.pow("uy", b) * F.pow("uz", c)), 2))
+    return sum(parts[1:], parts[0])
+
+
+def bonds(atoms: DataFrame, cutoff: float) -> DataFrame:
+    """(frame, atom, ux, uy, uz): unit vectors from each atom to its neighbours nearer than ``cutoff``, not in its own place."""
+    a = atoms.select("frame", "atom", *[F.col(c).alias(f"{c}1") for c in "xyz"])
+    b = atoms.select("frame", F.col("atom").alias("_b"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
+    step = {c: F.col(f"{c}2") - F.col(f"{c}1") for c in "xyz"}
+    met = a.join(b, "frame").where("atom <> _b").withColumn("d", F.sqrt(sum((v * v for v in step.values()), F.lit(0.0))))
+    return met.where((F.col("d") > 0) & (F.col("d") < cutoff)).select("frame", "atom", *[(v / F.col("d")).alias(f"u{c}") for c, v in step.items()])
+
+
+def bond_order(atoms: DataFrame, cutoff: float, by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """(by, n, q4, q6): bond-orientation order of a frame, or of an atom with by = (frame, atom).
+
+    By the addition theorem, q_l^2 is the mean of the Legendre polynomial P_l over all pairs of bonds; its powers are
+    sums of squared moments, so the work is linear in bonds.
+    """
+    n = F.count("*").cast("double")
+    m2, m4, m6 = (_tensor_norm(k) for k in (2, 4, 6))
+    sums = bonds(atoms, cutoff).groupBy(*by).agg(F.count("*").alias("n"), ((35 * m4 - 30 * m2 + 3 * n * n) / 8 / (n * n)).alias("s4"), ((231 * m6 - 315 * m4 + 105 * m2 - 5 * n * n) / 16 / (n * n)).alias("s6"))
+    return sums.select(*by, "n", *[F.sqrt(F.greatest(F.col(f"s{k}"), F.lit(0.0))).alias(f"q{k}") for k in (4, 6)])
+
+
+def radial_density(atoms: DataFrame, centres: list[float], sigma: float) -> DataFrame:
+    """(frame, atom, x): for each atom the Gaussian counts of the others by distance, at the given centres."""
+    both = frame_pairs(atoms).select("frame", F.explode(F.array("a", "b")).alias("atom"), "d")
+    at = [F.sum(F.exp(-0.5 * F.pow((F.col("d") - c) / sigma, 2))).alias(f"r{k}") for k, c in enumerate(centres)]
+    got = both.groupBy("frame", "atom").agg(*at)
+    return got.select("frame", "atom", F.array(*[f"r{k}" for k in range(len(centres))]).alias("x"))
+
+
+def mean_and_spread(parts: DataFrame, dim: int) -> DataFrame:
+    """(frame, x): means and then population spreads, over a frame's atoms, of the arrays x."""
+    items = [F.get("x", F.lit(k)) for k in range(dim)]
+    got = parts.groupBy("frame").agg(*[F.avg(v).alias(f"m{k}") for k, v in enumerate(items)], *[F.stddev_pop(v).alias(f"s{k}") for k, v in enumerate(items)])
+    return got.select("frame", F.array(*[f"m{k}" for k in range(dim)], *[f"s{k}" for k in range(dim)]).alias("x"))
+
+
+def best_rotation(pairs: DataFrame) -> DataFrame:
+    """(i, j, r): the proper rotation, row by row, that takes the centred xi nearest to the centred xj."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch["xi"], batch["xj"], strict=True):
+                p, q = (np.asarray(v).reshape(-1, 3) for v in (x, y))
+                u, _, v = np.linalg.svd((p - p.mean(axis=0)).T @ (q - q.mean(axis=0)))
+                flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ v)) or 1.0])
+                out.append((v.T @ flip @ u.T).ravel())
+            yield pd.DataFrame({"i": batch["i"], "j": batch["j"], "r": out})
+
+    return pairs.select("i", "j", "xi", "xj").mapInPandas(run, "i long, j long, r array<double>")
+
+
+def committor_plane(distances: DataFrame, da: str, db: str) -> DataFrame:
+    """(id, q, r): da / (da + db), 1/2 where both are 0, and da + db."""
+    total = F.col(da) + F.col(db)
+    return distances.select("id", F.when(total > 0, F.col(da) / total).otherwise(0.5).alias("q"), total.alias("r"))
+
+
+def check_frames(frames: DataFrame) -> DataFrame:
+    """``frames`` (frame, sym, pos), an error on reading a row if it isn't whole.
+
+    A frame needs an id, as many positions as symbols, at least one, each of three finite numbers.
+    """
+    whole = F.coalesce(
+        F.col("frame").isNotNull() & (F.size("sym") > 0) & (F.size("sym") == F.size("pos")) & F.forall("pos", lambda p: (F.size(p) == 3) & F.forall(p, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))),
+        F.lit(False),
+    )
+    return frames.withColumn("frame", F.when(whole, F.col("frame")).otherwise(F.raise_error(F.concat(F.lit("not a whole frame: "), F.coalesce(F.col("frame").cast("string"), F.lit("null"))))))

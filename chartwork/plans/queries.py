@@ -37,7 +37,7 @@ _BOTH = ", g as (select i, j, d from p union all select j, i, d from p), k as ma
 _ID = "(((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 64 + cast(l_quantity as bigint)"
 _ATOM = "(l_linenumber::bigint * 1000000000 + l_partkey * 10000 + l_suppkey) * 64 + cast(l_quantity as bigint)"
 _L = f"l as materialized (select {_ID} as id, l_quantity / 50 as q, l_extendedprice / 100000 as p, l_discount * 10 as s, l_tax * 10 as t, l_returnflag as flag, l_linestatus as status from lineitem)"
-_M = ", m as (select s_suppkey as lid, s_acctbal / 10000 as lq, (s_suppkey % 7) / 7.0::double as lp, 1.0::double + s_nationkey as lw, s_acctbal / 1000 as px, s_nationkey::double as py from supplier where s_suppkey <= 50)"
+_M = ", m as (select s_suppkey as lid, s_acctbal / 10000 as lq, (s_suppkey % 7) / 7.0::double as lp, 1.0::double + s_nationkey as lw, s_acctbal / 1000 as px, s_nationkey::double as py from (select *, row_number() over (order by s_suppkey) - 1 as nr, greatest(count(*) over () // 50, 1) as step from supplier) where nr % step = 0 and nr < 50 * step)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,10 @@ def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty suppliers as landmarks with two coordinates, a weight and a place."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 50")
+    """Fifty landmarks, at even steps of the suppliers, with two coordinates, a weight and a place."""
+    s = table(spark, sf_dir, "supplier")
+    picked = pairs.stride_points(s.select(F.col("s_suppkey").alias("id")), 50).select(F.col("id").alias("s_suppkey"))
+    s = s.join(F.broadcast(picked), "s_suppkey")
     return s.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 10000, (F.col("s_suppkey") % 7) / F.lit(7.0)).alias("x"), (F.lit(1.0) + F.col("s_nationkey")).alias("w"), (F.col("s_acctbal") / 1000).alias("px"), F.col("s_nationkey").cast("double").alias("py"))
 
 
@@ -154,11 +156,11 @@ def dist_wasserstein(spark, sf_dir):
     return _by_point(pairs.all_pairs(h.select("id", metrics.cumulative("x").alias("x")), metrics.wasserstein))
 
 
-_PART = "select p_partkey as id, [p_size / 50.0::double, p_retailprice / 1000] as x from part where p_partkey <= 1000"
+_PART = "select p_partkey as id, [p_size / 50.0::double, p_retailprice / 1000] as x from part"
 
 
 def _parts(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_partkey <= 1000").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size") / F.lit(50.0), F.col("p_retailprice") / 1000).alias("x"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size") / F.lit(50.0), F.col("p_retailprice") / 1000).alias("x"))
 
 
 _WRAP = "(case when ({0} % 1.0 + 1.0) % 1.0 > 0.5 then ({0} % 1.0 + 1.0) % 1.0 - 1.0 else ({0} % 1.0 + 1.0) % 1.0 end)"
@@ -334,7 +336,7 @@ def alpha_plugin(spark, sf_dir):
     return stats.plugin_alpha(p, 0.8).select(R6(F.col("alpha")).alias("alpha"), "n_used")
 
 
-@query(f"with {_P}{_BOTH}, b as (select i, d as b from k where rank = 5) select p.i, p.j, round(((case when pow(d / x.b, 10) >= 60 then 0 else exp(-pow(d / x.b, 10)) end) + (case when pow(d / y.b, 10) >= 60 then 0 else exp(-pow(d / y.b, 10)) end)) / 2, 6) as w from p join b x on x.i = p.i join b y on y.i = p.j")
+@query(f"with {_P}{_BOTH}, b as materialized (select i, d as b from k where rank = 5), w as (select p.i, p.j, ((case when pow(d / x.b, 10) >= 60 then 0 else exp(-pow(d / x.b, 10)) end) + (case when pow(d / y.b, 10) >= 60 then 0 else exp(-pow(d / y.b, 10)) end)) / 2 as w from p join b x on x.i = p.i join b y on y.i = p.j) select i, j, round(w, 6) as w from w where w > 0")
 def phate_kernel(spark, sf_dir):
     return stats.phate_kernel(pairs.all_pairs(vectors(spark, sf_dir)), 5, 10.0).select("i", "j", R6(F.col("w")).alias("w"))
 
@@ -409,9 +411,9 @@ def rank_uniform(spark, sf_dir):
     return stats.rank_uniform(s, ("acct", "nation")).select("id", R6(F.col("acct")).alias("acct"), R6(F.col("nation")).alias("nation"))
 
 
-@query(f"with {_L}, c as (select flag, avg(q) as mq, avg(p) as mp from l group by 1), s as (select l.flag, avg(sqrt(pow(q - mq, 2) + pow(p - mp, 2))) as s from l join c on c.flag = l.flag group by 1) select a.flag as a, b.flag as b, round(sqrt(pow(a.mq - b.mq, 2) + pow(a.mp - b.mp, 2)), 6) as gap, round((x.s + y.s) / 2, 6) as spread from c a join c b on a.flag < b.flag join s x on x.flag = a.flag join s y on y.flag = b.flag")
+@query(f"with {_L}, c as (select flag, avg(q) as mq, avg(p) as mp from l group by 1), s as (select l.flag, avg(sqrt(pow(q - mq, 2) + pow(p - mp, 2))) as s from l join c on c.flag = l.flag group by 1) select a.flag as a, b.flag as b, round(sqrt(pow(a.mq - b.mq, 2) + pow(a.mp - b.mp, 2)), 6) as gap, round((x.s + y.s) / 2, 6) as spread, round(sqrt(pow(a.mq - b.mq, 2) + pow(a.mp - b.mp, 2)) / ((x.s + y.s) / 2), 6) as ratio from c a join c b on a.flag < b.flag join s x on x.flag = a.flag join s y on y.flag = b.flag")
 def label_separation(spark, sf_dir):
-    return stats.separation(lines(spark, sf_dir), ("q", "p"), "flag").select("a", "b", R6(F.col("gap")).alias("gap"), R6(F.col("spread")).alias("spread"))
+    return stats.separation(lines(spark, sf_dir), ("q", "p"), "flag").select("a", "b", R6(F.col("gap")).alias("gap"), R6(F.col("spread")).alias("spread"), R6(F.col("ratio")).alias("ratio"))
 
 
 # ---------------------------------------------------------------- placement
@@ -449,11 +451,11 @@ def affinity_projection(spark, sf_dir):
     return got.select("id", R6(F.col("px")).alias("px"), R6(F.col("py")).alias("py"))
 
 
-@query(f"with {_L}, d as (select id, sqrt(pow(q - 0.1137, 2) + pow(p - 0.0971, 2)) as da, sqrt(pow(q - 0.8951, 2) + pow(p - 0.7313, 2)) as db from l) select id, round((da * da - db * db + 1.0) / 2, 6) as x from d")
+@query(f"with {_L}, d as (select id, sqrt(pow(q - 0.1137, 2) + pow(p - 0.0971, 2)) as da, sqrt(pow(q - 0.8951, 2) + pow(p - 0.7313, 2)) as db from l) select id, round((da * da - db * db + 1.0) / 2, 6) as x, round(sqrt(greatest(da * da - pow((da * da - db * db + 1.0) / 2, 2), 0)), 5) as y from d")
 def trilateration(spark, sf_dir):
     d = line_points(spark, sf_dir).withColumn("a", F.array(F.lit(0.1137), F.lit(0.0971))).withColumn("b", F.array(F.lit(0.8951), F.lit(0.7313)))
     d = d.select("id", metrics.euclid("x", "a", 2).alias("da"), metrics.euclid("x", "b", 2).alias("db"))
-    return projection.trilateration(d, "da", "db", 1.0).select("id", R6(F.col("x")).alias("x"))
+    return projection.trilateration(d, "da", "db", 1.0).select("id", R6(F.col("x")).alias("x"), F.round("y", 5).alias("y"))
 
 
 @query(f"with {_L}, m as (select sum(q * s) / sum(s) as mq, sum(p * s) / sum(s) as mp from l) select id, round(q - mq, 6) as q, round(p - mp, 6) as p from l, m")
@@ -575,12 +577,16 @@ def frame_energy(spark, sf_dir):
     return structures.lennard_jones(atoms(spark, sf_dir)).select("frame", R6(F.col("e")).alias("e"))
 
 
-_SW = "case when d < 1.25 then 1 when d > 1.25 and d < 1.5 then pow((d - 1.25) / 0.25 - 1, 2) * (2 * (d - 1.25) / 0.25 + 1) else 0 end"
+_SW = "case when d <= 1.25 then 1 when d < 1.5 then pow((d - 1.25) / 0.25 - 1, 2) * (2 * (d - 1.25) / 0.25 + 1) else 0 end"
 
 
-@query(f"with {_AP}, s as (select frame, a as atom, {_SW} as s from ap union all select frame, b, {_SW} from ap), c as (select a.frame, a.atom, coalesce(sum(s.s), 0) as cn from a left join s on s.frame = a.frame and s.atom = a.atom group by 1, 2) select frame, round(sum(exp(-0.5 * pow((cn - 1) / 0.5, 2))), 6) as n1, round(sum(exp(-0.5 * pow((cn - 2) / 0.5, 2))), 6) as n2, round(sum(exp(-0.5 * pow((cn - 3) / 0.5, 2))), 6) as n3 from c group by 1")
+_CN = ", ".join(f"round(sum(exp(-0.5 * pow((cn - {k}) / 0.5, 2))), 6) as n{k}" for k in range(4, 14))
+
+
+@query(f"with {_AP}, s as (select frame, a as atom, {_SW} as s from ap union all select frame, b, {_SW} from ap), c as (select a.frame, a.atom, coalesce(sum(s.s), 0) as cn from a left join s on s.frame = a.frame and s.atom = a.atom group by 1, 2) select frame, {_CN} from c group by 1")
 def coordination_vector(spark, sf_dir):
-    return structures.coordination_vector(atoms(spark, sf_dir), 1, 3).select("frame", *[R6(F.col(c)).alias(c) for c in ("n1", "n2", "n3")])
+    got = structures.coordination_vector(atoms(spark, sf_dir))
+    return got.select("frame", *[R6(F.col(c)).alias(c) for c in got.columns if c != "frame"])
 
 
 @query(f"select [round(l_quantity / 10, 0) + 0.0, round(l_discount * 10, 0) + 0.0]::double[] as site, min(struct_pack(v := l_extendedprice, id := {_ID})).id as id, round(min(l_extendedprice), 6) as value, count(*) as members from lineitem group by 1")
@@ -599,8 +605,24 @@ def frame_round_trip(spark, sf_dir):
 
 @query()
 def coulomb_spectrum(spark, sf_dir):
-    a = atoms(spark, sf_dir).withColumn("z", F.col("z") * 1.01)
-    return structures.coulomb_spectrum(a).select("frame", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    return structures.coulomb_spectrum(atoms(spark, sf_dir)).select("frame", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+
+
+def _moments(x: str) -> list:
+    """Number, sum and sum of squares of a spectrum: those of the matrix."""
+    power = lambda p: F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(v, p)), 4) + 0.0
+    return [F.size(x).cast("long").alias("n"), power(1).alias("m1"), power(2).alias("m2")]
+
+
+@query(f"with {_AP}, n as (select frame, count(*) as n from a group by 1), m as (select frame, min(d) as least, 2 * sum(case when d > 0 then pow(d, -2) end) as m2 from ap group by 1) select n.frame, case when least = 0 then null else n end as n, case when least = 0 then null else 0.0::double end as m1, case when least = 0 then null else coalesce(round(m2, 4), 0) end as m2 from n left join m on m.frame = n.frame")
+def coulomb_moments(spark, sf_dir):
+    """The sums that a matrix of inverse distances fixes, from its eigenvalues."""
+    return structures.coulomb_spectrum(atoms(spark, sf_dir)).select("frame", *[F.when(F.col("x").isNotNull(), c).alias(n) for c, n in zip(_moments("x"), ("n", "m1", "m2"), strict=True)])
+
+
+@query(f"with {_AP}, n as (select frame, count(*) as n from a group by 1), m as (select frame, 2 * sum(pow(d, 4)) as m2 from ap group by 1) select n.frame, n, 0.0::double as m1, coalesce(round(m2, 4), 0) as m2 from n left join m on m.frame = n.frame")
+def squared_distance_moments(spark, sf_dir):
+    return structures.squared_distance_spectrum(atoms(spark, sf_dir)).select("frame", *_moments("x"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -613,3 +635,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query()(flagship)
+
+# registers its own queries; at the end, as it uses the tables above
+from chartwork.plans import maps  # noqa: E402, F401
