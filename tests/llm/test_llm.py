@@ -298,6 +298,39 @@ def test_substrings(spark, docs, table, odd):
     assert repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_whose_parts_are_elsewhere(spark):
+    rng = random.Random(11)
+    p = sentence(rng, 80, 10**6).split()
+    pad = lambda n=20: sentence(rng, n, 10**6).split()
+    texts = {1: pad() + p[:40] + pad(), 2: pad() + p[40:] + pad(), 3: pad() + p + pad(), 4: pad() + p + pad()}
+    # runs of one word: a short one first, then long ones
+    texts |= {11: ["x"] * 12 + pad(), 12: ["x"] * 90 + pad(), 13: pad() + ["x"] * 90}
+    # words left out in the middle, more than a band is wide at first; a long passage with seeds in its middle only
+    q = sentence(rng, 400, 10**6).split()
+    texts |= {21: pad() + q + pad(), 22: pad() + q[:150] + pad(8) + q[150:200] + q[208:] + pad()}
+    changed = [w if i % 5 else w + "y" for i, w in enumerate(q[:100])]
+    texts |= {31: pad() + changed + p[:30] + changed[::-1] + pad(), 32: pad() + [w.replace("y", "z") for w in changed] + p[:30] + changed[::-1] + pad()}
+    found = repeated_passages(frame(spark, [(k, " ".join(w), None, None, 0) for k, w in texts.items()])).collect()
+    spans = {(r["ref_doc_id"], r["doc_id"]): r for r in found}
+    assert {(3, 4), (12, 13), (21, 22), (31, 32)} <= set(spans)
+    assert spans[3, 4]["end_word"] - spans[3, 4]["first_word"] >= 79
+    assert spans[12, 13]["end_word"] - spans[12, 13]["first_word"] >= 90
+    assert max(r["end_word"] - r["first_word"] for r in found if (r["ref_doc_id"], r["doc_id"]) == (21, 22)) >= 390
+
+
+def test_long_passages_are_extended(spark):
+    """A passage whose seeds are far from its ends: every sixth word differs there."""
+    rng = random.Random(12)
+    core = sentence(rng, 60, 10**6).split()
+    wing = sentence(rng, 300, 10**6).split()
+    rows = []
+    for d in (1, 2):
+        own = [w if i % 6 else f"{w}{d}" for i, w in enumerate(wing)]
+        rows.append((d, " ".join(sentence(rng, 30, 10**6).split() + core + own + sentence(rng, 30, 10**6).split()), None, None, 0))
+    (r,) = repeated_passages(frame(spark, rows)).collect()
+    assert r["end_word"] - r["first_word"] > 350 and r["similarity"] > 0.8
+
+
 def test_chain_and_align():
     x = np.array([0, 4, 8, 50, 12])
     y = np.array([10, 14, 18, 21, 22])
