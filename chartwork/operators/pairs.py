@@ -69,7 +69,7 @@ def gram_pairs(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Like ``all_pairs``, but a block travels as one row. Squared distances from a product cancel where points are near
     to each other: below 1e-4 of the squared lengths they are worked out from differences. Each pair of blocks is
-    scaled by its largest entry, so that neither squares nor sums overflow.
+    scaled by a power of two near its largest entry, so that neither squares nor sums overflow.
     """
     n = df.count()
     dimension(df)
@@ -86,14 +86,17 @@ def gram_pairs(df: DataFrame, block: int = BLOCK) -> DataFrame:
             for p, q, a, b in zip(batch["p"], batch["q"], batch["left"], batch["right"], strict=True):
                 ia, ib = (np.array([r["id"] for r in rows]) for rows in (a, b))
                 x, y = (np.array([r["x"] for r in rows], dtype=float) for rows in (a, b))
-                scale = max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) or 1.0
-                x, y = x / scale, y / scale
-                length = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)
-                squared = length - 2 * (x @ y.T)
-                u, v = np.nonzero(squared <= 1e-4 * length)
-                squared[u, v] = ((x[u] - y[v]) ** 2).sum(axis=1)
+                scale = 2.0 ** np.floor(np.log2(max(np.abs(x).max(initial=0), np.abs(y).max(initial=0), 1e-300)))
+                u, v = x / scale, y / scale
+                length = (u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)
+                squared = length - 2 * (u @ v.T)
+                near = np.nonzero((squared <= 1e-4 * length) | (length < 1e-200))
+                d = np.sqrt(np.maximum(squared, 0)) * scale
+                gap = np.abs(x[near[0]] - y[near[1]])
+                most = np.maximum(gap.max(axis=1, initial=0), 1e-300)
+                d[near] = most * np.sqrt(((gap / most[:, None]) ** 2).sum(axis=1))
                 u, v = np.nonzero(ia[:, None] > ib if p == q else ia[:, None] != ib)
-                yield pd.DataFrame({"i": np.maximum(ia[u], ib[v]), "j": np.minimum(ia[u], ib[v]), "d": np.sqrt(squared[u, v]) * scale})
+                yield pd.DataFrame({"i": np.maximum(ia[u], ib[v]), "j": np.minimum(ia[u], ib[v]), "d": d[u, v]})
 
     return left.join(right, ["p", "q"]).mapInPandas(run, "i long, j long, d double")
 
