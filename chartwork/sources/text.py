@@ -57,7 +57,7 @@ def write_plumed(landmarks: DataFrame, path: str, dim: int, low: int = 2, name:
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
-    """(frame, comment, atom, symbol, x, y, z) of XYZ files, one frame a file; frames are numbered by path."""
+    """(frame, comment, atom, symbol, x, y, z) of XYZ files, one frame a file; a frame's id is a hash of its path."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("l"))
     numbered = whole.withColumn("frame", F.xxhash64("file"))
     rows = numbered.select("frame", F.element_at("l", 2).alias("comment"), F.posexplode(F.slice("l", F.lit(3), F.trim(F.element_at("l", 1)).cast("int"))).alias("atom", "value"))
@@ -90,6 +90,21 @@ def write_histogram(hist: DataFrame, path: str) -> None:
     hist.orderBy("bin").select(F.concat_ws(" ", F.col("bin").cast("string"), F.format_string("%.0f", "count")).alias("value")).write.text(path)
 
 
+def write_joint(joint: DataFrame, path: str) -> None:
+    """``ih il count`` of a joint histogram, a blank line after each row of cells; the mass beyond the ceilings goes last, as a comment."""
+    inside = joint.where("ih is not null").groupBy("ih").agg(F.array_sort(F.collect_list(F.struct("il", "count"))).alias("l"))  # a row of cells
+    line = F.transform("l", lambda v: F.concat_ws(" ", F.col("ih").cast("string"), v["il"].cast("string"), v["count"].cast("string")))
+    rows = inside.select("ih", F.concat(F.array_join(line, "\n"), F.lit("\n")).alias("value"))
+    out = joint.where("ih is null").select(F.lit(None).cast("int").alias("ih"), F.concat(F.lit("# outside "), F.col("count").cast("string")).alias("value"))
+    rows.unionByName(out).orderBy(F.col("ih").asc_nulls_last()).select("value").write.text(path)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, digest) of files, the digest as ``sha256:`` and 64 hex digits."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"))
+
+
 def valid_provenance(df: DataFrame) -> DataFrame:
     """``df`` with ``valid``: ids that aren't blank, a sha256 digest, a 40-digit revision or none, and positive versions."""
     filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""

@@ -1,4 +1,4 @@
-"""Maps over streams: windowed histograms and the placement of arriving rows."""
+"""Maps over streams: windowed histograms."""
 
 from __future__ import annotations
 

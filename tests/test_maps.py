@@ -164,6 +164,18 @@ def test_structures(spark):
             structures.check_frames(spark.createDataFrame([bad], good.schema)).collect()
 
 
+def test_joint_and_digests(spark, tmp_path):
+    from chartwork.sources import text
+
+    rows = spark.createDataFrame([(0, 0, 2), (0, 1, 3), (1, 0, 4), (None, None, 5)], "ih int, il int, count long")
+    text.write_joint(rows, f"{tmp_path}/joint")
+    written = "".join(p.read_text() for p in sorted((tmp_path / "joint").glob("part-*")))
+    assert written == "0 0 2\n0 1 3\n\n1 0 4\n\n# outside 5\n"
+    (tmp_path / "one.txt").write_bytes(b"abc")
+    r = text.file_digests(spark, f"{tmp_path}/one.txt").first()
+    assert r["length"] == 3 and r["digest"] == "sha256:ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+
+
 def test_maps_from_distances(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(30, 3))
