@@ -119,7 +119,8 @@ def equal_groups(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text:
     parts = texts.withColumn("piece", F.pmod(F.xxhash64("doc_id"), pieces).cast("int"))
     same = F.col("canon") == F.col("head")
     compared = parts.join(heads, ["fingerprint", "piece"]).select("doc_id", "fingerprint", "group_id", same.alias("same"), F.when(~same, F.sha2("canon", 256)).alias("other"))
-    groups = compared.withColumn("group_id", F.when(F.col("same"), F.col("group_id")).otherwise(F.col("doc_id")))
+    odd = compared.where("not same").groupBy("fingerprint", "other").agg(F.min("doc_id").alias("_least"))
+    groups = compared.join(small(written(odd, "collisions")), ["fingerprint", "other"], "left").withColumn("group_id", F.when(F.col("same"), F.col("group_id")).otherwise(F.col("_least")))
     return groups.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartwork.llm.common import new_folder
 from chartwork.llm.decontamination import find_leaks
 from chartwork.llm.extraction import extract_text
 from chartwork.llm.fingerprints import fingerprint_documents
@@ -26,7 +27,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(_table(spark, sf_dir, "documents"), n_shards=40)
+    # an own store of maps for each call: another table's map is no start for this one
+    return shard_documents(_table(spark, sf_dir, "documents"), n_shards=40, maps_path=new_folder(spark, "maps"))
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

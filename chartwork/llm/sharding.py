@@ -74,6 +74,12 @@ class SlotMap:
         rows = [(self.version, i, s, int(load[i]) if load is not None else None) for i, s in enumerate(self.shard)]
         return spark.createDataFrame(rows, "version int, virtual_slot int, shard int, bytes long")
 
+    @staticmethod
+    def kept(spark: SparkSession, path: str) -> bool:
+        """Whether there are maps at ``path``."""
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
     def save(self, spark: SparkSession, path: str, load: np.ndarray | None = None) -> None:
         """Appends this version to the maps kept at ``path``."""
         self.table(spark, load).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
@@ -130,9 +136,9 @@ def _placed(light: DataFrame, slot: Column, slot_map: SlotMap) -> DataFrame:
 def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text", n_slots: int = SLOTS, maps_path: str | None = None, order: tuple[str, str] | None = None) -> DataFrame:
     """Every row's shard under the ``bytes`` law: sizes of shards are near equal.
 
-    Records hash into ``n_slots`` virtual slots; the first map deals slots in turn, and its edited second version
-    levels the bytes. ``slot`` numbers the rows of a shard from 0 without gaps: a row number inside each virtual slot
-    plus the rows of the shard's earlier slots, so that no task holds a whole shard. Both versions are kept at
+    Records hash into ``n_slots`` virtual slots; the first map deals slots in turn, and its edited next version levels
+    the bytes. Where ``maps_path`` has maps already, of as many shards and slots, the latest is edited instead. ``slot`` numbers the rows of a shard from 0 without gaps: a row number inside each virtual slot
+    plus the rows of the shard's earlier slots, so that no task holds a whole shard. New versions are kept at
     ``maps_path`` if that is given.
 
     ``order`` names two columns that order all rows: a run of rows, and the place in it. Then ``slot`` follows that order
@@ -143,11 +149,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(order or (), ("_run", "_at"), strict=False)])
-    first = SlotMap.initial(n_shards, n_slots)
+    stored = maps_path is not None and SlotMap.kept(spark, maps_path)
+    first = SlotMap.load(spark, maps_path) if stored else SlotMap.initial(n_shards, n_slots)
+    if (first.n_shards, len(first.shard)) != (n_shards, n_slots):
+        raise ValueError(f"the kept map has {first.n_shards} shards and {len(first.shard)} slots")
     load, rows = slot_totals(docs, n_slots=n_slots)
     second = first.rebalanced(load)
     if maps_path:
-        first.save(spark, maps_path, load)
+        if not stored:
+            first.save(spark, maps_path)
         second.save(spark, maps_path, load)
     light = assign_shards(docs, second).select(
         "doc_id",

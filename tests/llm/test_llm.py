@@ -344,6 +344,22 @@ def test_chain_and_align():
     assert align(a, a + 5000, 0, 0) is None
 
 
+def test_the_kept_map_is_edited(spark, table, tmp_path):
+    path = f"{tmp_path}/maps"
+    shard_documents(table, 5, n_slots=64, maps_path=path).count()
+    one = SlotMap.load(spark, path)
+    assert one.version == 2 and SlotMap.load(spark, path, 1) == SlotMap.initial(5, 64)
+    more = table.unionByName(frame(spark, [(9000 + i, "word " * (i + 1), None, None, 0) for i in range(200)]))
+    load, _ = slot_totals(more, n_slots=64)
+    shard_documents(more, 5, n_slots=64, maps_path=path).count()
+    two = SlotMap.load(spark, path)
+    assert two.version == 3 and two == one.rebalanced(load)
+    totals = np.bincount(np.array(two.shard), weights=load, minlength=5)
+    assert totals.max() - totals.min() <= load.max()
+    with pytest.raises(ValueError, match="the kept map"):
+        shard_documents(table, 6, n_slots=64, maps_path=path)
+
+
 # ---------------------------------------------------------------- 7 extraction
 
 
