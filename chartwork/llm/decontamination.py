@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from chartwork.llm.common import Words, _gram, mix, slices
 
-#: Least similarity, 1 - edits / words of the item, and least words of an item that is looked for.
+#: Least similarity, 1 - edits / words of the item, and least words of an item for which ``drop_leaks`` drops a text:
+#: fewer words are no evidence by themselves. ``find_leaks`` finds items of any number of words.
 SIMILARITY, MIN_WORDS = 0.8, 5
 #: Repetitions of the embedding and bits sampled in each.
 REPEATS, BITS = 24, 2
@@ -45,12 +46,21 @@ class Items:
         self.sample = np.sort(rng.random((REPEATS, BITS)), axis=1)
         self.n = np.array([len(w) for w in self.words], dtype=np.int64)
         found: dict[int, list] = {}
+        exact: dict[int, list] = {}
         for i, w in enumerate(self.words):
             k = _allowed(len(w), self.similarity)
+            if not k:  # no edit is allowed: the whole item is one run
+                exact.setdefault(len(w), []).append((_gram(w, np.zeros(1, np.int64), len(w))[0], i))
+                continue
             # k edits leave a run of q words unedited
             q = -(-(len(w) - k) // (k + 1))
             at = np.arange(len(w) - q + 1)
             found.setdefault(q, []).append((_gram(w, at, q), at, np.full(len(at), len(w))))
+        #: for each number of words, hashes of the items that must occur as they are, and which these are
+        self.exact = {}
+        for q, items in exact.items():
+            items.sort()
+            self.exact[q] = (np.array([h for h, _ in items], dtype=np.uint64), np.array([i for _, i in items], dtype=np.int64))
         self.seeds = {}
         for q, parts in found.items():
             h, off, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -115,13 +125,30 @@ class Items:
         start, size = code // (self.longest + 1), code % (self.longest + 1)
         return row_of[start], start, size
 
+    def exactly(self, words: Words) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(edits, first word, words) of the first occurrence in each text of each item that allows no edit."""
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        row_of = words.rows()
+        for q, (key, item) in self.exact.items():
+            h, at = words.grams(q)
+            lo, hi = np.searchsorted(key, h, "left"), np.searchsorted(key, h, "right")
+            hit = np.flatnonzero(hi > lo)
+            # each text and hash once, at its first place
+            _, first = np.unique(np.stack([row_of[at[hit]], lo[hit]]), axis=1, return_index=True)
+            for x in hit[np.sort(first)].tolist():
+                for i in item[lo[x] : hi[x]].tolist():
+                    if np.array_equal(words.hash[at[x] : at[x] + q], self.words[i]):
+                        row = int(row_of[at[x]])
+                        found[row, i] = (0, int(at[x] - words.first[row]), q)
+        return found
+
     def matches(self, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, words, edits) of the best match of each item in each text."""
         words = Words(column)
         if not self.words or not len(words.hash):
             return []
         row, start, size = self.windows(words)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best = self.exactly(words)
         padded = np.append(words.hash, np.full(self.longest + 1, _PAD, np.uint64))
         for lo in range(0, len(start), 4096):
             r, s, n = row[lo : lo + 4096], start[lo : lo + 4096], size[lo : lo + 4096]
@@ -162,12 +189,11 @@ def best_edit(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(now[end]) // _STEP, int(now[end]) % _STEP, end - int(now[end]) % _STEP
 
 
-def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", similarity: float = SIMILARITY) -> list[Items]:
-    """The benchmark in blocks of bounded size. Items of fewer than MIN_WORDS words are not looked for."""
+def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", similarity: float = SIMILARITY, min_words: int = 1) -> Iterator[Items]:
+    """The benchmark in blocks of bounded size, one at a time; items of fewer than ``min_words`` words are left out."""
     rows = benchmark.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").dropDuplicates(["id", "text"])
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // (2 * BLOCK_WORDS)))
-    blocks = []
     for b in range(n):  # a stated query set, one bounded block at a time
         own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
         got = own.orderBy("id", "text").toArrow().combine_chunks()
@@ -175,14 +201,13 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text",
         ids, lists = [], []
         for i, item in enumerate(got.column("id").to_pylist()):
             w = words.hash[words.first[i] : words.first[i + 1]]
-            if len(w) >= MIN_WORDS:
+            if len(w) >= max(min_words, 1):
                 ids.append(item)
                 lists.append(w)
-        blocks.append(Items(ids, lists, similarity))
-    return blocks
+        yield Items(ids, lists, similarity)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, min_words: int = 1) -> DataFrame:
     """doc_id, item_id, first_word, n_words, edits, similarity: the best match of each item in each text that has it.
 
     A text has an item if some run of its words is within (1 - similarity) * words edits of the item's words; words are
@@ -190,13 +215,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     allowed number of edits must leave whole somewhere; they are hashed by the sampled walks, and only windows that
     share a bucket with an item are verified. An equal window always shares all buckets.
 
-    A null text or item has no words; an item of fewer than MIN_WORDS words is not looked for. Repeated rows give
-    repeated results. No shuffle: texts meet the broadcast blocks of items where they are.
+    An item so short that it allows no edit must occur as it is. A null text or item has no words and matches nothing,
+    as does an item of fewer than ``min_words`` words. Repeated rows give repeated results, an empty table none; other
+    columns are left out. No shuffle: texts meet the broadcast blocks of items where they are.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = None
-    for items in item_blocks(benchmark, item_key, item_text, similarity):
+    for items in item_blocks(benchmark, item_key, item_text, similarity, min_words):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -221,13 +247,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows whose text has an item of the benchmark; columns, nulls and repeated rows stay."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without the rows whose text has an item of at least ``min_words`` words; columns, nulls and repeated rows stay."""
     spark = docs.sparkSession
     names = docs.columns
     out = docs.toDF(*[f"c{i}" for i in range(len(names))])
     column, schema = f"c{names.index(text)}", out.schema
-    for items in item_blocks(benchmark, item_key, item_text, similarity):
+    for items in item_blocks(benchmark, item_key, item_text, similarity, min_words):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -274,6 +274,16 @@ def test_decontamination(spark, docs, odd):
     assert best_edit(np.array([1, 2, 3], np.uint64), np.array([9, 1, 3, 9], np.uint64))[0] == 1
 
 
+def test_short_items_are_found_as_they_are(spark):
+    texts = ["one two three four", "Two three", "two  three two three", "three two", "", None, "two\nthree five"]
+    docs = frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    items = spark.createDataFrame([(1, "two three"), (2, "TWO THREE"), (3, "five"), (4, ""), (5, None), (6, "one two three four")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["first_word"], r["n_words"], r["edits"]) for r in find_leaks(docs, items).collect()}
+    pairs = {(i, k, words_of(t).index("two"), 2, 0) for i, t in enumerate(texts) for k in (1, 2) if i in (0, 1, 2, 6)}
+    assert found == pairs | {(6, 3, 2, 1, 0), (0, 6, 0, 4, 0)}
+    assert drop_leaks(docs, items).count() == len(texts) and drop_leaks(docs, items, min_words=4).count() == len(texts) - 1
+
+
 # ---------------------------------------------------------------- 6 substrings
 
 
