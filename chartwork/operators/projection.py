@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,45 +159,128 @@ def trilateration(df: DataFrame, da: str, db: str, gap: float) -> DataFrame:
     return df.select("id", x.alias("x"), F.sqrt(F.greatest(F.pow(F.col(da), 2) - x * x, F.lit(0.0))).alias("y"))
 
 
-def place_on_map(rows: DataFrame, landmarks: DataFrame, high, low, width: float, coarse: int = 21, fine: int = 41) -> DataFrame:
+#: Candidates whose distances to all landmarks a task holds at a time, and numbers of a piece of rows.
+CANDIDATES, NUMBERS = 256, 1 << 21
+
+
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of a and b, from a matrix product; near pairs from differences."""
+    length = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)
+    squared = np.maximum(length - 2 * (a @ b.T), 0)
+    i, j = np.nonzero(squared <= 1e-4 * length)
+    squared[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
+    return np.sqrt(squared)
+
+
+@dataclass(frozen=True)
+class Placing:
+    """A fitted map: places of landmarks, their weights, transfers of either distance, and the grids that are searched."""
+
+    places: np.ndarray
+    weights: np.ndarray
+    high: Callable[[np.ndarray], np.ndarray]
+    low: Callable[[np.ndarray], np.ndarray]
+    width: float
+    coarse: int
+    fine: int
+    temperature: float
+    path: float
+
+    def grid(self, half: float, n: int) -> np.ndarray:
+        line = np.linspace(-half, half, n)
+        return np.stack(np.meshgrid(*[line] * self.places.shape[1], indexing="ij"), axis=-1).reshape(-1, self.places.shape[1])
+
+    def costs(self, spots: np.ndarray, f: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Stress of each row (transferred distances f) at blocks of candidate spots, as matrix products."""
+        w = self.weights / self.weights.sum()
+        own, pull = (f * f * w).sum(axis=1), f * w
+        for lo in range(0, len(spots), CANDIDATES):
+            known = self.low(_between(spots[lo : lo + CANDIDATES], self.places))
+            yield lo, np.maximum(own[:, None] - 2 * (pull @ known.T) + (known * known * w).sum(axis=1), 0)
+
+    def least(self, spots: np.ndarray, f: np.ndarray, best: np.ndarray, at: np.ndarray) -> None:
+        """Moves rows to the first spot of least stress, if it is less than the best so far; both are updated in place."""
+        noise = 1e-12 * (f * f).max(axis=1, initial=0)
+        for lo, cost in self.costs(spots, f):
+            least = cost.min(axis=1)
+            first = (cost <= (least + noise)[:, None]).argmax(axis=1)
+            better = least < best - noise
+            best[better], at[better] = least[better], spots[lo + first[better]]
+
+    def place(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spots, stress and nearest landmark (by index) of rows with distances d to the landmarks."""
+        near = d.argmin(axis=1)
+        gap = d[np.arange(len(d)), near]
+        if self.path > 0:
+            w = np.exp(-(d - gap[:, None]) / self.path) * self.weights
+            return (w @ self.places) / w.sum(axis=1)[:, None], np.zeros(len(d)), near
+        f = self.high(d)
+        best, at = np.full(len(d), np.inf), self.places[near].copy()
+        self.least(self.places, f, best, at)
+        if self.coarse >= 2:
+            grid = self.grid(self.width, self.coarse)
+            self.least(grid, f, best, at)
+            if self.fine >= 2:
+                around = self.grid(2 * self.width / (self.coarse - 1), self.fine)
+                spots, group = np.unique(at, axis=0, return_inverse=True)
+                for g, spot in enumerate(spots):  # rows of one spot search the same cells
+                    rows = np.flatnonzero(group.ravel() == g)
+                    own, to = best[rows], at[rows]
+                    self.least(spot + around, f[rows], own, to)
+                    best[rows], at[rows] = own, to
+            if self.temperature > 0 and self.places.shape[1] == 2:
+                total, moved = np.zeros(len(d)), np.zeros_like(at)
+                for lo, cost in self.costs(grid, f):
+                    w = np.exp((best[:, None] - cost) / self.temperature)
+                    total += w.sum(axis=1)
+                    moved += w @ grid[lo : lo + CANDIDATES]
+                at = np.where(total[:, None] > 0, moved / np.maximum(total, 1e-300)[:, None], at)
+        same = gap <= 1e-14  # the landmark itself
+        at[same] = self.places[near[same]]
+        w = self.weights / self.weights.sum()
+        apart = np.sqrt(((at[:, None, :] - self.places) ** 2).sum(axis=2))
+        return at, ((self.low(apart) - f) ** 2 * w).sum(axis=1), near
+
+
+def place_on_map(
+    rows: DataFrame,
+    landmarks: DataFrame,
+    high,
+    low,
+    width: float,
+    coarse: int = 21,
+    fine: int = 41,
+    temperature: float = 0.0,
+    path: float = 0.0,
+    axes: tuple[str, ...] = ("px", "py"),
+    distances: bool = False,
+) -> DataFrame:
     """(id, x, y, chi, nearest): each row where the stress to the landmarks is least.
 
-    Candidates are the landmarks' own places, then a coarse grid over [-width, width]^2, then a fine one around its
-    best cell. ``high`` and ``low`` map arrays of distances. Landmarks (id, x array, px, py, w) are at most LANDMARKS;
-    rows are placed in Arrow batches, a bounded piece at a time. The first of equal candidates is taken.
+    Candidates are the landmarks' own places, then a coarse grid over [-width, width]^2, then a fine one around the best
+    so far; ``coarse`` under 2 leaves the grids out. With ``temperature``, the place is the mean of the coarse grid
+    weighted by exp(-stress / temperature); with ``path``, that of the landmarks weighted by exp(-d / path), with chi 0.
+    A row on a landmark takes its place. On a map of one axis y is null. ``high`` and ``low`` map arrays of distances.
+
+    With ``distances``, a row's x already is its distances to the landmarks by ascending id. Landmarks (id, x array, px,
+    py, w) are at most LANDMARKS; rows are placed in Arrow batches, a bounded piece at a time. The first of equal
+    candidates is taken. An empty table gives an empty one.
     """
     got = landmarks.orderBy("id").limit(LANDMARKS + 1).toPandas()
-    if len(got) > LANDMARKS:
-        raise ValueError(f"more than {LANDMARKS} landmarks")
-    marks = (got["id"].to_numpy(), np.stack(got["x"].to_numpy()), got[["px", "py"]].to_numpy(), got["w"].to_numpy())
-    shared = rows.sparkSession.sparkContext.broadcast(marks)
+    if not 0 < len(got) <= LANDMARKS:
+        raise ValueError(f"{len(got)} landmarks; from 1 to {LANDMARKS} can be placed on")
+    placing = Placing(got[list(axes)].to_numpy(dtype=float), got["w"].to_numpy(dtype=float), high, low, width, coarse, fine, temperature, path)
+    shared = rows.sparkSession.sparkContext.broadcast((got["id"].to_numpy(), None if distances else np.stack(got["x"].to_numpy()), placing))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x, place, w = shared.value
-        w = w / w.sum()
-        line = np.linspace(-width, width, coarse)
-        grid = np.array([(a, b) for a in line for b in line])
-        step = np.linspace(-2 * width / (coarse - 1), 2 * width / (coarse - 1), fine)
-        around = np.array([(a, b) for a in step for b in step])
-        known = low(np.linalg.norm(np.vstack([place, grid])[:, None, :] - place, axis=2))
-        spots = np.vstack([place, grid])
+        ids, marks, placing = shared.value
+        step = max(1, NUMBERS // (len(ids) * placing.places.shape[1] + CANDIDATES))
         for batch in batches:
-            out = []
-            for row, v in zip(batch["id"], batch["x"], strict=True):
-                d = np.linalg.norm(x - np.asarray(v), axis=1)
-                near = int(d.argmin())
-                if d[near] <= 1e-14:
-                    out.append((row, *place[near], 0.0, ids[near]))
-                    continue
-                f = high(d)
-                cost = ((known - f) ** 2 * w).sum(axis=1)
-                best = int(cost.argmin())
-                local = spots[best] + around
-                closer = ((low(np.linalg.norm(local[:, None, :] - place, axis=2)) - f) ** 2 * w).sum(axis=1)
-                pick = int(closer.argmin())
-                spot, value = (local[pick], closer[pick]) if closer[pick] < cost[best] else (spots[best], cost[best])
-                out.append((row, *spot, value, ids[near]))
-            yield pd.DataFrame(out, columns=["id", "x", "y", "chi", "nearest"])
+            for lo in range(0, len(batch), step):
+                part = batch.iloc[lo : lo + step]
+                x = np.stack(part["x"].to_numpy()).astype(float)
+                at, chi, near = placing.place(x if marks is None else _between(x, marks))
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "x": at[:, 0], "y": at[:, 1] if at.shape[1] > 1 else None, "chi": chi, "nearest": ids[near]})
 
     return rows.select("id", "x").mapInPandas(run, "id long, x double, y double, chi double, nearest long")
 

@@ -487,7 +487,7 @@ def map_placement(spark, sf_dir):
 
     f = lambda d: np.arcsinh(d / s.params[0]) / (2 * np.arcsinh(1))
     m = marks(spark, sf_dir).withColumn("px", F.get("x", F.lit(0))).withColumn("py", F.get("x", F.lit(1)))
-    return projection.place_on_map(line_points(spark, sf_dir), m, f, f, 1.2, 13, 9)
+    return projection.place_on_map(line_points(spark, sf_dir), m, f, f, 1.2)
 
 
 @query(f"with {_L}, n as (select q, p from l order by abs(q - 0.5137) + abs(p - 0.4971), id limit 20) select round(avg(q), 6) as q, round(avg(p), 6) as p, count(*) as n from n")

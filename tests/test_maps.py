@@ -164,6 +164,44 @@ def test_structures(spark):
             structures.check_frames(spark.createDataFrame([bad], good.schema)).collect()
 
 
+def test_placing_by_brute_force():
+    rng = np.random.default_rng(8)
+    marks, places, w = rng.normal(size=(7, 4)), rng.normal(size=(7, 2)), rng.random(7) + 0.5
+    rows = np.vstack([rng.normal(size=(20, 4)), marks[3]])
+    f = lambda d: np.arcsinh(d / 0.7)
+    fit = projection.Placing(places, w, f, f, 2.0, 9, 5, 0.0, 0.0)
+    d = np.linalg.norm(rows[:, None] - marks, axis=2)
+    at, chi, near = fit.place(projection._between(rows, marks))
+    stress = lambda spot, r: float(((f(np.linalg.norm(places - spot, axis=1)) - f(d[r])) ** 2 * w).sum() / w.sum())
+    line, step = np.linspace(-2, 2, 9), np.linspace(-0.5, 0.5, 5)
+    for r in range(20):
+        first = min([*places, *[np.array([a, b]) for a in line for b in line]], key=lambda s, r=r: stress(s, r))
+        best = min([first, *[first + (a, b) for a in step for b in step]], key=lambda s, r=r: stress(s, r))
+        assert chi[r] == pytest.approx(stress(best, r), rel=1e-9) and at[r] == pytest.approx(best)
+        assert near[r] == d[r].argmin()
+    assert at[20] == pytest.approx(places[3]) and near[20] == 3
+    mean, zero, _ = projection.Placing(places, w, f, f, 2.0, 9, 5, 0.0, 0.3).place(d)
+    u = np.exp(-d[0] / 0.3) * w
+    assert mean[0] == pytest.approx(u @ places / u.sum()) and not zero.any()
+    warm, _, _ = projection.Placing(places, w, f, f, 2.0, 9, 1, 0.05, 0.0).place(d)
+    grid = [np.array([a, b]) for a in line for b in line]
+    u = np.array([math.exp(-stress(s, 0) / 0.05) for s in grid])
+    assert warm[0] == pytest.approx((u[:, None] * grid).sum(axis=0) / u.sum())
+    one, _, _ = projection.Placing(places[:, :1], w, f, f, 2.0, 9, 5, 0.0, 0.0).place(d)
+    assert one.shape == (21, 1)
+
+
+def test_placing_options(spark):
+    marks = spark.createDataFrame([(i, [float(v)], float(v), 1.0) for i, v in enumerate((0, 1, 3))], "id long, x array<double>, px double, w double")
+    f = lambda d: d
+    rows = spark.createDataFrame([(0, [2.0]), (1, [3.0])], "id long, x array<double>")
+    got = {r["id"]: r for r in projection.place_on_map(rows, marks, f, f, 4.0, axes=("px",)).collect()}
+    assert got[0]["x"] == pytest.approx(2, abs=0.02) and got[0]["y"] is None and (got[1]["x"], got[1]["nearest"]) == (3, 2)
+    far = spark.createDataFrame([(0, [2.0, 1.0, 1.0])], "id long, x array<double>")
+    assert projection.place_on_map(far, marks, f, f, 4.0, axes=("px",), distances=True).first()["x"] == pytest.approx(2, abs=0.02)
+    assert projection.place_on_map(rows.limit(0), marks, f, f, 4.0, axes=("px",)).count() == 0
+
+
 def test_joint_and_digests(spark, tmp_path):
     from chartwork.sources import text
 
