@@ -269,11 +269,12 @@ def place_on_map(
     got = landmarks.orderBy("id").limit(LANDMARKS + 1).toPandas()
     if not 0 < len(got) <= LANDMARKS:
         raise ValueError(f"{len(got)} landmarks; from 1 to {LANDMARKS} can be placed on")
-    placing = Placing(got[list(axes)].to_numpy(dtype=float), got["w"].to_numpy(dtype=float), high, low, width, coarse, fine, temperature, path)
-    shared = rows.sparkSession.sparkContext.broadcast((got["id"].to_numpy(), None if distances else np.stack(got["x"].to_numpy()), placing))
+    tables = (got["id"].to_numpy(), None if distances else np.stack(got["x"].to_numpy()), got[list(axes)].to_numpy(dtype=float), got["w"].to_numpy(dtype=float))
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, marks, placing = shared.value
+        ids, marks, places, weights = shared.value
+        placing = Placing(places, weights, high, low, width, coarse, fine, temperature, path)
         step = max(1, NUMBERS // (len(ids) * placing.places.shape[1] + CANDIDATES))
         for batch in batches:
             for lo in range(0, len(batch), step):
