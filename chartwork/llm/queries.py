@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartwork.llm.chat import format_turns, read_back, with_probe
 from chartwork.llm.common import new_folder
 from chartwork.llm.decontamination import find_leaks
 from chartwork.llm.extraction import extract_text
@@ -13,8 +14,10 @@ from chartwork.llm.jaccard import jaccard_components
 from chartwork.llm.langid import predict_languages
 from chartwork.llm.linededup import dedup_lines
 from chartwork.llm.mixing import mix_sources
+from chartwork.llm.periodic import periodic_runs, periodic_tail
 from chartwork.llm.sharding import shard_documents
 from chartwork.llm.substrings import repeated_passages
+from chartwork.llm.variants import group_variants
 from chartwork.llm.warc import captures_of_pages, resolve_revisits
 
 
@@ -65,6 +68,31 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(format_turns(with_probe(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(_table(spark, sf_dir, "documents"), misspelt=199)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"), rewrite=periodic_tail)
+
+
+#: CRC-32 in SQL: the bytes of a string, and the table of the reflected polynomial.
+_CRC_TABLE = """crc_table as (
+  select list(c order by b) as t from (
+    select b, list_reduce(list_prepend(b, range(1, 9)), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as c
+    from (select unnest(range(0, 256)) as b)))"""
+
+
+def _crc(of: str) -> str:
+    """SQL of the unsigned CRC-32 of a string column; the table crc_table must be joined."""
+    code = f"list_transform(range(0, strlen({of})), lambda i: ('0x' || substr(hex(encode({of})), 2 * i + 1, 2))::bigint)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {code}), lambda c, b: xor(c >> 8, crc_table.t[(xor(c, b) & 255) + 1])))"
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
@@ -76,6 +104,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_fingerprints": op10_fingerprints,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
@@ -159,5 +190,81 @@ reach(doc_id, c) as (
   select l.b, r.c from reach r join links l on l.a = r.doc_id where r.c < l.b)
 select s.doc_id, len(s.s)::bigint as n_shingles, m.c as component_id
 from sets s join (select doc_id, min(c) as c from reach group by doc_id) m on m.doc_id = s.doc_id
+""",
+    "op11_chat_formatting": r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(15 + length(role) + len(regexp_extract_all(role, '[\\<>]'))
+    + length(text) + len(regexp_extract_all(text, '\\|<turn |</turn>|<image/>|<audio/>|<document/>')))::bigint as formatted_chars,
+  0::bigint as n_attachments, 0::bigint as n_tokens
+from said group by conv_id
+""",
+    "op12_spelling_variants": f"""
+with recursive {_CRC_TABLE},
+runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as r from documents),
+per as (select doc_id, r, count(*) as n, doc_id || ':' || r as k from runs where length(r) >= 6 group by all),
+hashed as (select r, n, {_crc('k')} as h from per, crc_table),
+spelt as (
+  select case when h % 199 = 0 then substr(r, 1, (h % length(r))::bigint) || substr(r, (h % length(r))::bigint + 2) else r end as word, n
+  from hashed),
+words as (select word, sum(n)::bigint as n from spelt where length(word) >= 6 group by word having sum(n) >= 5),
+less as (
+  select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as v from (
+    select word, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as other from less a join less b on a.i = b.i and a.v = b.v and a.word <> b.word
+  union select a.word, b.word from less a join words b on b.word = a.v
+  union select b.word, a.word from less a join words b on b.word = a.v),
+best as (
+  select w.word, w.n, count(o.word) as n_near, first(o.word order by o.n desc, o.word) as form, max(o.n) as form_n
+  from words w left join near x on x.word = w.word left join words o on o.word = x.other group by w.word, w.n),
+formed as (
+  select word, n, n_near, case when form_n >= 5 * n then form end as form, case when form_n >= 5 * n then form_n end as form_n from best),
+up(word, root) as (
+  select word, word from formed
+  union all
+  select u.word, f.form from up u join formed f on f.word = u.root where f.form is not null)
+select f.word, f.form, e.root, f.n, f.n_near, f.form_n
+from formed f join (select u.word, u.root from up u join formed l on l.word = u.root where l.form is null) e on e.word = f.word
+""",
+    "op13_periodic_runs": f"""
+with {_CRC_TABLE},
+listed as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws, doc_id::varchar as k from documents),
+hashed as (select doc_id, ws, len(ws) as n, {_crc('k')} as h from listed, crc_table),
+placed as (
+  select *, h % 10 = 0 and n > 0 as hit, case when n > 0 then (h // 10) % n else 0 end as a, 3 + (h // 10) % 8 as d from hashed),
+put as (
+  select doc_id, n, case when hit then list_transform(range(0, n),
+    lambda i: ws[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // d) end]) else ws end as ws from placed),
+words as (select doc_id, n, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from put),
+equal as (
+  select x.doc_id, x.i, y.i - x.i as q from words x join words y on x.doc_id = y.doc_id and x.w = y.w and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+stretches as (
+  select doc_id, q, min(i) as s, count(*) + q as m
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as g from equal)
+  group by doc_id, q, g having count(*) + q >= greatest(24, 3 * q)),
+runs as (
+  select * from stretches r where not exists (
+    select 1 from stretches l where l.doc_id = r.doc_id and l.q < r.q and l.s <= r.s and l.s + l.m >= r.s + r.m)),
+kept as (
+  select doc_id, string_agg(w, ' ' order by i) as t from words x
+  where not exists (select 1 from runs r where r.doc_id = x.doc_id and x.i >= r.s + r.q and x.i < r.s + r.m) group by doc_id),
+tops as (
+  select doc_id, s, m, q from (
+    select *, row_number() over (partition by doc_id order by m::decimal(18, 0) * 1000000000000 // q desc, s, q) as nr from runs) where nr = 1),
+sums as (
+  select doc_id, count(*) as n_runs, sha256(string_agg(s || ',' || m || ',' || q || chr(10), '' order by s, q)) as sha from runs group by doc_id)
+select p.doc_id, coalesce(z.n_runs, 0)::bigint as n_runs, t.s as start, t.m as length, t.q as period, 1000 * t.m // t.q as exponent_milli,
+  coalesce(z.sha, sha256('')) as runs_sha256, sha256(coalesce(k.t, '')) as collapsed_sha256
+from put p left join sums z on z.doc_id = p.doc_id left join tops t on t.doc_id = p.doc_id left join kept k on k.doc_id = p.doc_id
 """,
 }
