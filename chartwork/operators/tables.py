@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROWS_BITS = 33  # of monotonically_increasing_id(): the row inside its partition
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _drop_all() -> None:
+    for spark, path in _written:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001, S110  the JVM may have gone first
+            pass
+
+
+atexit.register(_drop_all)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a folder of this machine where that is unset and all of Spark runs on it, else an error."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="chartwork-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in ``spark.checkpoint.dir``, or in an own folder where that is unset: its lineage is cut."""
+    """``df`` written to the shared folder and read again, until Python ends: its lineage is cut, executors may be lost.
+
+    A table read from files has the size of its files, so that Spark can choose joins by it. (A checkpoint keeps the
+    estimate of its plan, which multiplies with each join of an iteration until it can't be worked out.)
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chartwork-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/chartwork-kept-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, key: str = "id", name: str = "nr", ties: tuple[str, ...] = ()) -> DataFrame:
