@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwork.functions.metrics import euclid
+from chartwork.operators.joins import Distances, euclid_block
 from chartwork.operators.tables import kept, numbered
 
 #: Points of one block; each pair of blocks is one group of a join.
@@ -18,7 +20,7 @@ BLOCK = 256
 #: Rows a landmark table may have to be broadcast.
 LANDMARKS = 5000
 
-Metric = Callable[[str, str], Column]
+Metric = Callable[[str | Column, str | Column], Column]
 
 
 def points(df: DataFrame, key: str, x: str) -> DataFrame:
@@ -116,27 +118,81 @@ def undirected(graph: DataFrame) -> DataFrame:
     return graph.select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), "d").dropDuplicates(["i", "j"])
 
 
+def sound(x: str | Column, dim: int) -> Column:
+    """The array, or an error on reading a row whose array isn't ``dim`` finite numbers."""
+    x = F.col(x) if isinstance(x, str) else x
+    bad = x.isNull() | (F.size(x) != dim) | F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.when(bad, F.raise_error(F.lit("points must be finite and as long as the landmarks"))).otherwise(x)
+
+
+def _bounded(landmarks: DataFrame) -> int:
+    """The landmarks' dimension; an error if there are too many to be broadcast, or if they aren't sound."""
+    if landmarks.limit(LANDMARKS + 1).count() > LANDMARKS:
+        raise ValueError(f"more than {LANDMARKS} landmarks")
+    return dimension(landmarks)
+
+
 def with_landmarks(rows: DataFrame, landmarks: DataFrame, dist: Metric) -> DataFrame:
-    """Every row with every landmark and their distance.
+    """Every row with every landmark and their distance, as rows. (``by_landmarks`` has them inside the row.)
 
     Landmarks are a fitted sample of bounded size: up to LANDMARKS they are broadcast, more are refused.
     """
-    if landmarks.limit(LANDMARKS + 1).count() > LANDMARKS:
-        raise ValueError(f"more than {LANDMARKS} landmarks")
+    dim = _bounded(landmarks)
     marks = landmarks.select(*[F.col(c).alias(f"l_{c}") for c in landmarks.columns])
-    return rows.join(F.broadcast(marks)).withColumn("d", dist("x", "l_x"))
+    return rows.withColumn("x", sound("x", dim)).join(F.broadcast(marks)).withColumn("d", dist("x", "l_x"))
+
 
+#: Distances of rows to landmarks that a task holds at a time.
+_HELD = 1 << 21
 
-def nearest_landmark(rows: DataFrame, landmarks: DataFrame, dist: Metric) -> DataFrame:
-    """Each row with its nearest landmark's id and distance; ties go to the lower id."""
-    met = with_landmarks(rows, landmarks, dist)
-    best = met.groupBy("id").agg(F.min(F.struct("d", "l_id")).alias("m"))
-    return best.select("id", F.col("m.l_id").alias("nearest"), F.col("m.d").alias("d"))
 
+def by_landmarks(rows: DataFrame, landmarks: DataFrame, dist: Distances, found: Callable[[np.ndarray, dict[str, np.ndarray]], list[np.ndarray]], schema: str, values: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carry, schema) of what ``found`` makes of each row's distances to all landmarks, in Arrow batches.
 
-def voronoi(rows: DataFrame, landmarks: DataFrame, dist: Metric, gamma: float = 1.0) -> DataFrame:
+    ``found`` gets a matrix of distances, a column a landmark in the order of ids, and the landmarks' ``values`` and
+    ids. No row is copied, sorted or shuffled: the landmarks (LANDMARKS at most, more are refused) travel with the
+    task. A row that isn't finite, or has another dimension than the landmarks, is an error.
+    """
+    dim = _bounded(landmarks)
+    held = sorted(landmarks.select("id", "x", *values).collect(), key=lambda r: r["id"])
+    marks = np.array([r["x"] for r in held], dtype=float).reshape(len(held), dim)
+    known = {c: np.array([r[c] for r in held], dtype=np.int64 if c == "id" else float) for c in ("id", *values)}
+    out = rows.select("id", *carry, F.col("x").cast("array<double>").alias("x"))
+    kinds = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name != "x"] + [schema])
+    names = ["id", *carry, *(f.split()[0] for f in schema.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x")
+            at, n = x.offsets.to_numpy(), len(x)
+            flat = x.values.slice(at[0], at[-1] - at[0])
+            if x.null_count or flat.null_count or (np.diff(at) != dim).any() or not np.isfinite(flat.to_numpy(zero_copy_only=False)).all():
+                raise ValueError("points must be finite and as long as the landmarks")
+            points_ = flat.to_numpy().reshape(n, dim)
+            step = max(1, _HELD // max(1, len(marks)))
+            parts = [found(dist(points_[lo : lo + step], marks), known) for lo in range(0, n, step)]
+            made = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+            if parts:
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", *carry)] + made, names=names)
+
+    if not held:
+        return rows.sparkSession.createDataFrame([], kinds)
+    return out.mapInArrow(run, kinds)
+
+
+def nearest_landmark(rows: DataFrame, landmarks: DataFrame, dist: Distances = euclid_block, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each row with its nearest landmark's id and distance; ties go to the lower id. ``carry`` names columns to keep."""
+
+    def found(d: np.ndarray, known: dict[str, np.ndarray]) -> list[np.ndarray]:
+        best = d.argmin(axis=1)
+        return [known["id"][best], d[np.arange(len(d)), best]]
+
+    return by_landmarks(rows, landmarks, dist, found, "nearest long, d double", carry=carry)
+
+
+def voronoi(rows: DataFrame, landmarks: DataFrame, dist: Distances = euclid_block, gamma: float = 1.0) -> DataFrame:
     """Mass of each landmark's cell: the weights (column w) of its rows, to the power gamma, normalised; empty cells have 0."""
-    mass = nearest_landmark(rows, landmarks, dist).join(rows.select("id", "w"), "id").groupBy("nearest").agg(F.sum("w").alias("m"))
+    mass = nearest_landmark(rows, landmarks, dist, ("w",)).groupBy("nearest").agg(F.sum("w").alias("m"))
     cells = landmarks.select("id").join(mass.withColumnRenamed("nearest", "id"), "id", "left").withColumn("m", F.pow(F.coalesce("m", F.lit(0.0)), gamma))
     total = cells.agg(F.sum("m").alias("total"))
     return cells.join(F.broadcast(total)).select("id", (F.col("m") / F.col("total")).alias("weight"))
@@ -196,19 +252,28 @@ def random_points(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return drawn.select(rank.cast("int").alias("ord"), "id")
 
 
-def staged_points(df: DataFrame, pool: int, k: int, start: int | None = None, seed: int = 0, dist: Metric | None = None) -> DataFrame:
-    """(step, id): farthest points of a pool that is drawn at random first, with its cells' masses as weights.
+def staged_points(df: DataFrame, k: int, start: int, seed: int = 0, gamma: float = 1.0) -> DataFrame:
+    """(ord, id) of k rows drawn in two stages: a cell of a cover, then a row of the cell.
 
-    The weight of a pool row is the number of rows nearest to it, to the power 1/2.
+    The cover is ceil(sqrt(k n)) farthest points from ``start``, between k and LANDMARKS. A cell is drawn with the
+    probability of its Voronoi mass to the power ``gamma`` (1: as the rows lie, 0: evenly over space), a row evenly in
+    it; without replacement, as the least of exponential marks: each row has mark -ln(u) / p, p its probability,
+    with u a hash of seed and id. So the draw is the same at any partitioning, and fewer rows than k are all taken.
     """
-    dim = dimension(df)
-    metric = dist or (lambda a, b: euclid(a, b, dim))
-    drawn = kept(df.join(F.broadcast(random_points(df, pool, seed).select("id")), "id", "left_semi").select("id", "x"))
-    mass = voronoi(df.select("id", "x").withColumn("w", F.lit(1.0)), drawn, metric, 0.5)
-    return farthest_points(drawn.join(mass, "id"), k, start, metric, weight="weight")
+    n = df.count()
+    cover = max(min(k, n), min(LANDMARKS, n, math.isqrt(max(k * n - 1, 0)) + 1))
+    rows = kept(df.select("id", "x"))
+    picks = kept(rows.join(F.broadcast(farthest_points(rows, cover, start, every=8).select("id")), "id", "left_semi"))
+    cells = kept(nearest_landmark(rows, picks))
+    size = cells.groupBy("nearest").agg(F.count("*").alias("_n"))  # a row a landmark
+    chance = F.pow(F.col("_n"), gamma) / F.col("_n")
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) + 0.5) / float(1 << 53)
+    drawn = cells.join(F.broadcast(size), "nearest").select("id", (-F.ln(unit) / chance).alias("_m")).orderBy("_m", "id").limit(k)  # the k is the feature
+    rank = F.row_number().over(Window.orderBy("_m", "id")) - 1  # over k rows
+    return drawn.select(rank.cast("int").alias("ord"), "id")
 
 
-def packed(df: DataFrame, picks: DataFrame, dist: Metric) -> DataFrame:
+def packed(df: DataFrame, picks: DataFrame, dist: Distances = euclid_block) -> DataFrame:
     """(ord, id, x, w) of picked landmarks in their order, with the number of rows nearest to each as w."""
     rows = picks.select(F.col(picks.columns[0]).alias("ord"), "id")
     marks = kept(df.select("id", "x").join(F.broadcast(rows), "id"))

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartwork.operators.pairs import LANDMARKS, Metric, with_landmarks
+from chartwork.operators.joins import Distances, euclid_block
+from chartwork.operators.pairs import LANDMARKS, Metric, by_landmarks, with_landmarks
 from chartwork.operators.tables import kept
 
 
@@ -120,37 +121,46 @@ def centred(df: DataFrame, axes: tuple[str, ...], weight: str | None = None) ->
     return df.crossJoin(F.broadcast(mean)).select(*[(F.col(c) - F.col(f"_{c}")).alias(c) if c in axes else c for c in df.columns])
 
 
-def path_average(rows: DataFrame, landmarks: DataFrame, dist: Metric, scale: float, axes: tuple[str, ...]) -> DataFrame:
+def _means(weights: np.ndarray, known: dict[str, np.ndarray], axes: tuple[str, ...]) -> list[np.ndarray]:
+    """Weighted means of the landmarks' places, a row each; NaN where all weights are 0."""
+    total = weights.sum(axis=1)
+    with np.errstate(invalid="ignore"):
+        return [weights @ known[c] / total for c in axes]
+
+
+def _places(rows: DataFrame, landmarks: DataFrame, dist: Distances, weigh: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray], axes: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
+    return by_landmarks(rows, landmarks, dist, lambda d, known: _means(weigh(d, known), known, axes), ", ".join(f"{c} double" for c in axes), (*axes, *more))
+
+
+def path_average(rows: DataFrame, landmarks: DataFrame, scale: float, axes: tuple[str, ...], dist: Distances = euclid_block) -> DataFrame:
     """Each row at the mean of its landmarks' places, weighted by exp(-d / scale) times their weight w."""
-    met = with_landmarks(rows, landmarks, dist)
     # relative to the nearest landmark, so that far rows don't underflow
-    near = met.withColumn("m", F.min("d").over(Window.partitionBy("id")))
-    w = F.exp(-(F.col("d") - F.col("m")) / scale) * F.col("l_w")
-    return near.groupBy("id").agg(*[(F.sum(w * F.col(f"l_{c}")) / F.sum(w)).alias(c) for c in axes])
+    weigh = lambda d, known: np.exp(-(d - d.min(axis=1, keepdims=True)) / scale) * known["w"]
+    return _places(rows, landmarks, dist, weigh, axes, ("w",))
 
 
-def knn_average(rows: DataFrame, landmarks: DataFrame, dist: Metric, k: int, axes: tuple[str, ...], floor: float = 1e-8) -> DataFrame:
-    """Each row at the mean of its k nearest landmarks' places, weighted by 1 / (d + floor)."""
-    met = with_landmarks(rows, landmarks, dist)
-    best = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "l_id", *[f"l_{c}" for c in axes]))), 1, k).alias("b"))  # as many as landmarks
-    w = lambda v: 1 / (v["d"] + floor)
-    total = F.aggregate("b", F.lit(0.0), lambda s, v: s + w(v))
+def knn_average(rows: DataFrame, landmarks: DataFrame, k: int, axes: tuple[str, ...], floor: float = 1e-8, dist: Distances = euclid_block) -> DataFrame:
+    """Each row at the mean of its k nearest landmarks' places (ties: the lower ids), weighted by 1 / (d + floor)."""
 
-    def mean(c: str) -> Column:
-        return F.aggregate("b", F.lit(0.0), lambda s, v: s + w(v) * v[f"l_{c}"]) / total
+    def weigh(d: np.ndarray, known: dict[str, np.ndarray]) -> np.ndarray:
+        w = np.zeros_like(d)
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        at = np.arange(len(d))[:, None]
+        w[at, near] = 1 / (d[at, near] + floor)
+        return w
 
-    return best.select("id", *[mean(c).alias(c) for c in axes])
+    return _places(rows, landmarks, dist, weigh, axes)
 
 
-def affinity_average(rows: DataFrame, landmarks: DataFrame, dist: Metric, k: int, decay: float, axes: tuple[str, ...]) -> DataFrame:
+def affinity_average(rows: DataFrame, landmarks: DataFrame, k: int, decay: float, axes: tuple[str, ...], dist: Distances = euclid_block) -> DataFrame:
     """Each row at the mean of all landmarks' places, weighted by exp(-(d / eps)^decay) with eps the k-th distance."""
-    met = with_landmarks(rows, landmarks, dist)
-    order = Window.partitionBy("id").orderBy("d", "l_id")
-    eps = F.greatest(F.max(F.when(F.col("_r") == k, F.col("d"))).over(Window.partitionBy("id")), F.lit(1e-12))
-    near = met.withColumn("_r", F.row_number().over(order)).withColumn("_e", eps)
-    e = F.pow(F.col("d") / F.col("_e"), decay)
-    w = F.when(e >= 60, 0.0).otherwise(F.exp(-e))
-    return near.groupBy("id").agg(*[(F.sum(w * F.col(f"l_{c}")) / F.sum(w)).alias(c) for c in axes])
+
+    def weigh(d: np.ndarray, known: dict[str, np.ndarray]) -> np.ndarray:
+        eps = np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1 : k], 1e-12)
+        bend = (d / eps) ** decay
+        return np.where(bend >= 60, 0.0, np.exp(-bend))
+
+    return _places(rows, landmarks, dist, weigh, axes)
 
 
 def trilateration(df: DataFrame, da: str, db: str, gap: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwork.functions.transfers import Transfer
+from chartwork.operators.joins import near_in_space
 from chartwork.operators.pairs import both_ways, nearest_neighbours, with_landmarks
 from chartwork.operators.tables import kept, numbered
 
@@ -174,8 +175,8 @@ def free_energy(hist: DataFrame, box: tuple[float, float, float, float], nx: int
 
 
 def padded_box(df: DataFrame, x: str, y: str, pad: float = 0.05) -> tuple[float, float, float, float]:
-    """Bounds of the points, wider by ``pad`` of their span; a span of zero counts as one."""
-    x0, x1, y0, y1 = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    """Bounds of the points, wider by ``pad`` of their span; a span of zero counts as one, no points as one at 0."""
+    x0, x1, y0, y1 = (v or 0.0 for v in df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first())
     sx, sy = (x1 - x0) or 1.0, (y1 - y0) or 1.0
     return x0 - pad * sx, x1 + pad * sx, y0 - pad * sy, y1 + pad * sy
 
@@ -290,10 +291,8 @@ def coordination_histogram(numbers: DataFrame) -> DataFrame:
 
 def coordination(atoms: DataFrame, cutoff: float) -> DataFrame:
     """(frame, atom, cn): neighbours nearer than ``cutoff`` in the same frame; ``atoms`` has frame, atom, x, y, z."""
-    a = atoms.select("frame", F.col("atom").alias("a"), *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    b = atoms.select("frame", F.col("atom").alias("b"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    near = sum((F.pow(F.col(f"{c}1") - F.col(f"{c}2"), 2) for c in "xyz"), F.lit(0.0)) < cutoff * cutoff
-    met = a.join(b, "frame").where((F.col("a") != F.col("b")) & near).groupBy("frame", F.col("a").alias("atom")).agg(F.count("*").alias("cn"))
+    near = near_in_space(atoms, cutoff, by=("frame",), name="atom")
+    met = near.groupBy("frame", F.col("a").alias("atom")).agg(F.count("*").alias("cn"))
     return atoms.select("frame", "atom").join(met, ["frame", "atom"], "left").select("frame", "atom", F.coalesce("cn", F.lit(0)).cast("long").alias("cn"))
 
 
@@ -301,12 +300,15 @@ def coordination(atoms: DataFrame, cutoff: float) -> DataFrame:
 
 
 def correlations(pairs: DataFrame) -> DataFrame:
-    """One row: Pearson and Spearman of far pairs (dh at or above its upper quartile), RMS of dh - dl of near ones."""
+    """One row: Pearson and Spearman of far pairs (dh at or above its upper quartile), RMS of dh - dl of near ones.
+
+    Equal distances have ranks of their own, in the order of (i, j), so that the partitioning changes nothing.
+    """
     pairs = kept(pairs)
     q = pairs.agg(F.percentile("dh", F.lit(0.25)).alias("q25"), F.percentile("dh", F.lit(0.75)).alias("q75"))
     both = pairs.crossJoin(F.broadcast(q))
     far = both.where("dh >= q75").select("i", "j", "dh", "dl")
-    by = {c: numbered(far.withColumn("_k", F.col(c)), "_k", f"r_{c}").select("i", "j", f"r_{c}") for c in ("dh", "dl")}
+    by = {c: numbered(far.withColumn("_k", F.col(c)), "_k", f"r_{c}", ("i", "j")).select("i", "j", f"r_{c}") for c in ("dh", "dl")}
     ranks = by["dh"].join(by["dl"], ["i", "j"])
     pearson = far.agg(F.corr("dh", "dl").alias("far_pearson"))
     spearman = ranks.agg(F.corr("r_dh", "r_dl").alias("far_spearman"))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartwork.operators.joins import near_in_space
+
 
 def frame_pairs(atoms: DataFrame) -> DataFrame:
     """(frame, a, b, d) of the atom pairs b < a of each frame: an equi-join on the frame."""
@@ -27,7 +29,7 @@ def switching(d: Column, far: float = 1.5, near: float = 1.25) -> Column:
 
 def smooth_coordination(atoms: DataFrame, far: float = 1.5, near: float = 1.25) -> DataFrame:
     """(frame, atom, cn): sums of the switching function over the other atoms."""
-    pairs = frame_pairs(atoms).select("frame", F.explode(F.array("a", "b")).alias("atom"), switching(F.col("d"), far, near).alias("s"))
+    pairs = near_in_space(atoms, far, by=("frame",), name="atom").select("frame", F.col("a").alias("atom"), switching(F.col("d"), far, near).alias("s"))
     sums = pairs.groupBy("frame", "atom").agg(F.sum("s").alias("cn"))
     return atoms.select("frame", "atom").join(sums, ["frame", "atom"], "left").select("frame", "atom", F.coalesce("cn", F.lit(0.0)).alias("cn"))
 
@@ -39,14 +41,21 @@ def coordination_vector(atoms: DataFrame, low: int = 4, high: int = 13, sigma: f
 
 
 def sorted_distances(atoms: DataFrame) -> DataFrame:
-    """(frame, x): the ascending distances of a frame's atom pairs."""
-    return frame_pairs(atoms).groupBy("frame").agg(F.array_sort(F.collect_list("d")).alias("x"))
+    """(frame, x): the ascending distances of a frame's atom pairs, none for a single atom."""
+    got = frame_pairs(atoms).groupBy("frame").agg(F.array_sort(F.collect_list("d")).alias("x"))
+    return _every_frame(atoms, got).select("frame", F.coalesce("x", F.array().cast("array<double>")).alias("x"))
+
+
+def _every_frame(atoms: DataFrame, got: DataFrame) -> DataFrame:
+    """``got`` with a row of nulls for each frame that it lacks."""
+    return atoms.select("frame").distinct().join(got, "frame", "left")
 
 
 def lennard_jones(atoms: DataFrame) -> DataFrame:
-    """(frame, e): 4 * sum(d^-12 - d^-6) in reduced units; pairs at distance 0 are an error of the input and give null."""
+    """(frame, e): 4 * sum(d^-12 - d^-6) in reduced units; pairs at distance 0 are an error of the input and give null, a single atom 0."""
     r6 = F.when(F.col("d") > 0, F.pow(F.col("d"), -6))
-    return frame_pairs(atoms).groupBy("frame").agg(F.when(F.count_if(F.col("d") <= 0) == 0, F.sum(4 * (r6 * r6 - r6))).alias("e"))
+    got = frame_pairs(atoms).groupBy("frame").agg((F.count_if(F.col("d") <= 0) == 0).alias("_ok"), F.sum(4 * (r6 * r6 - r6)).alias("e"))
+    return _every_frame(atoms, got).select("frame", F.when(F.col("_ok").isNull(), 0.0).when(F.col("_ok"), F.col("e")).alias("e"))
 
 
 def positions(atoms: DataFrame) -> DataFrame:
@@ -110,19 +119,27 @@ def squared_distance_spectrum(atoms: DataFrame) -> DataFrame:
     return _spectra(atoms, lambda gaps: gaps)
 
 
+def _covariances(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of equally many atoms together: rows, both sets of centred positions, and their 3 x 3 covariances."""
+    for n, rows in batch.groupby(batch["xi"].map(len) // 3):
+        step = max(1, _ENTRIES // max(1, 6 * n))
+        for lo in range(0, len(rows), step):
+            part = rows.iloc[lo : lo + step]
+            p, q = (np.stack(part[c].to_numpy()).astype(float).reshape(len(part), n, 3) for c in ("xi", "xj"))
+            p, q = p - p.mean(axis=1, keepdims=True), q - q.mean(axis=1, keepdims=True)
+            yield part, p, q, p.transpose(0, 2, 1) @ q
+
+
 def aligned_rmsd(pairs: DataFrame) -> DataFrame:
     """(i, j, rmsd) of pairs of flat coordinates xi and xj of equally many atoms, after centring and the best proper rotation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch["xi"], batch["xj"], strict=True):
-                p, q = (np.asarray(v).reshape(-1, 3) for v in (x, y))
-                p, q = p - p.mean(axis=0), q - q.mean(axis=0)
-                u, s, v = np.linalg.svd(p.T @ q)
-                s[2] *= np.sign(np.linalg.det(u) * np.linalg.det(v)) or 1.0
-                out.append(float(np.sqrt(max(0.0, (p * p).sum() + (q * q).sum() - 2 * s.sum()) / len(p))))
-            yield pd.DataFrame({"i": batch["i"], "j": batch["j"], "rmsd": out})
+            for part, p, q, m in _covariances(batch):
+                s = np.linalg.svd(m, compute_uv=False)
+                s[:, 2] *= np.where(np.linalg.det(m) < 0, -1.0, 1.0)
+                left = (p * p).sum(axis=(1, 2)) + (q * q).sum(axis=(1, 2)) - 2 * s.sum(axis=1)
+                yield pd.DataFrame({"i": part["i"], "j": part["j"], "rmsd": np.sqrt(np.maximum(left, 0) / p.shape[1])})
 
     return pairs.select("i", "j", "xi", "xj").mapInPandas(run, "i long, j long, rmsd double")
 
@@ -146,31 +163,31 @@ def _tensor_norm(k: int) -> Column:
 
 def bonds(atoms: DataFrame, cutoff: float) -> DataFrame:
     """(frame, atom, ux, uy, uz): unit vectors from each atom to its neighbours nearer than ``cutoff``, not in its own place."""
-    a = atoms.select("frame", "atom", *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    b = atoms.select("frame", F.col("atom").alias("_b"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    step = {c: F.col(f"{c}2") - F.col(f"{c}1") for c in "xyz"}
-    met = a.join(b, "frame").where("atom <> _b").withColumn("d", F.sqrt(sum((v * v for v in step.values()), F.lit(0.0))))
-    return met.where((F.col("d") > 0) & (F.col("d") < cutoff)).select("frame", "atom", *[(v / F.col("d")).alias(f"u{c}") for c, v in step.items()])
+    met = near_in_space(atoms, cutoff, by=("frame",), name="atom").where("d > 0")
+    return met.select("frame", F.col("a").alias("atom"), *[(F.get("step", F.lit(k)) / F.col("d")).alias(f"u{c}") for k, c in enumerate("xyz")])
 
 
 def bond_order(atoms: DataFrame, cutoff: float, by: tuple[str, ...] = ("frame",)) -> DataFrame:
     """(by, n, q4, q6): bond-orientation order of a frame, or of an atom with by = (frame, atom).
 
-    By the addition theorem, q_l^2 is the mean of the Legendre polynomial P_l over all pairs of bonds; its powers are
+    A frame or atom without bonds has n = 0 and nulls. By the addition theorem, q_l^2 is the mean of the Legendre polynomial P_l over all pairs of bonds; its powers are
     sums of squared moments, so the work is linear in bonds.
     """
     n = F.count("*").cast("double")
     m2, m4, m6 = (_tensor_norm(k) for k in (2, 4, 6))
     sums = bonds(atoms, cutoff).groupBy(*by).agg(F.count("*").alias("n"), ((35 * m4 - 30 * m2 + 3 * n * n) / 8 / (n * n)).alias("s4"), ((231 * m6 - 315 * m4 + 105 * m2 - 5 * n * n) / 16 / (n * n)).alias("s6"))
-    return sums.select(*by, "n", *[F.sqrt(F.greatest(F.col(f"s{k}"), F.lit(0.0))).alias(f"q{k}") for k in (4, 6)])
+    every = atoms.select(*by).distinct().join(sums, list(by), "left")
+    root = lambda k: F.when(F.col(f"s{k}").isNotNull(), F.sqrt(F.greatest(F.col(f"s{k}"), F.lit(0.0)))).alias(f"q{k}")
+    return every.select(*by, F.coalesce("n", F.lit(0)).cast("long").alias("n"), root(4), root(6))
 
 
 def radial_density(atoms: DataFrame, centres: list[float], sigma: float) -> DataFrame:
-    """(frame, atom, x): for each atom the Gaussian counts of the others by distance, at the given centres."""
+    """(frame, atom, x): for each atom the Gaussian counts of the others by distance, at the given centres; 0 for a single atom."""
     both = frame_pairs(atoms).select("frame", F.explode(F.array("a", "b")).alias("atom"), "d")
     at = [F.sum(F.exp(-0.5 * F.pow((F.col("d") - c) / sigma, 2))).alias(f"r{k}") for k, c in enumerate(centres)]
     got = both.groupBy("frame", "atom").agg(*at)
-    return got.select("frame", "atom", F.array(*[f"r{k}" for k in range(len(centres))]).alias("x"))
+    every = atoms.select("frame", "atom").join(got, ["frame", "atom"], "left")
+    return every.select("frame", "atom", F.array(*[F.coalesce(f"r{k}", F.lit(0.0)) for k in range(len(centres))]).alias("x"))
 
 
 def mean_and_spread(parts: DataFrame, dim: int) -> DataFrame:
@@ -185,13 +202,12 @@ def best_rotation(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch["xi"], batch["xj"], strict=True):
-                p, q = (np.asarray(v).reshape(-1, 3) for v in (x, y))
-                u, _, v = np.linalg.svd((p - p.mean(axis=0)).T @ (q - q.mean(axis=0)))
-                flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ v)) or 1.0])
-                out.append((v.T @ flip @ u.T).ravel())
-            yield pd.DataFrame({"i": batch["i"], "j": batch["j"], "r": out})
+            for part, _, _, m in _covariances(batch):
+                u, _, v = np.linalg.svd(m)
+                flip = np.tile(np.eye(3), (len(part), 1, 1))
+                flip[:, 2, 2] = np.where(np.linalg.det(u @ v) < 0, -1.0, 1.0)
+                r = v.transpose(0, 2, 1) @ flip @ u.transpose(0, 2, 1)
+                yield pd.DataFrame({"i": part["i"], "j": part["j"], "r": list(r.reshape(len(part), 9))})
 
     return pairs.select("i", "j", "xi", "xj").mapInPandas(run, "i long, j long, r array<double>")
 

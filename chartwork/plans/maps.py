@@ -147,16 +147,14 @@ def farthest_pinned(spark, sf_dir):
 @query(_FPS.format(w="1", pick=_TOP) + ", n as (select x.vec_id, arg_min(f.pick, (list_distance(x.x, y.x), f.pick)) as pick from e x, fps f, e y where y.vec_id = f.pick group by 1), c as (select pick, count(*) as w from n group by 1) select step as ord, f.pick::bigint as id, coalesce(w, 0)::double as w from fps f left join c on c.pick = f.pick")
 def packed_landmarks(spark, sf_dir):
     """Ten farthest points with the number of vectors nearest to each."""
-    from chartwork.functions import metrics
-
     v = vectors(spark, sf_dir)
-    return pairs.packed(v, pairs.farthest_points(v, 10, 0), lambda a, b: metrics.euclid(a, b, 64)).select("ord", "id", "w")
+    return pairs.packed(v, pairs.farthest_points(v, 10, 0)).select("ord", "id", "w")
 
 
 @query(f"with {_L}{_M}, b as (select id, min(struct_pack(d := sqrt(pow(q - lq, 2) + pow(p - lp, 2)), lid := lid)) as b from l, m group by 1) select id, round(m.px, 6) as px, m.py from b join m on m.lid = b.b.lid")
 def values_to_all_rows(spark, sf_dir):
     rows, m = line_points(spark, sf_dir), marks(spark, sf_dir)
-    got = pairs.to_all_rows(rows, pairs.nearest_landmark(rows, m, plane), m, ("px", "py"))
+    got = pairs.to_all_rows(rows, pairs.nearest_landmark(rows, m), m, ("px", "py"))
     return got.select("id", R6(F.col("px")).alias("px"), "py")
 
 
@@ -167,7 +165,7 @@ def random_landmarks(spark, sf_dir):
 
 @query()
 def staged_landmarks(spark, sf_dir):
-    return pairs.staged_points(vectors(spark, sf_dir), 100, 20)
+    return pairs.staged_points(vectors(spark, sf_dir), 20, 0, gamma=0.5)
 
 
 @query(f"with {_L}{_M}, c as (select avg(lq) as mq, avg(lp) as mp from m) select id, round(sqrt(pow(q - mq, 2) + pow(p - mp, 2)), 5) as r from l, c")
@@ -333,7 +331,7 @@ def support_mask(spark, sf_dir):
 
 
 _BONDS = _AP.split(", ap as")[0] + ", b as materialized (select a.frame, a.atom, (b.x - a.x) / d as ux, (b.y - a.y) / d as uy, (b.z - a.z) / d as uz from (select a.frame, a.atom as aa, b.atom as ba, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) as d from a join a b on a.frame = b.frame and a.atom <> b.atom) p join a on a.frame = p.frame and a.atom = p.aa join a b on b.frame = p.frame and b.atom = p.ba where d > 0 and d < 1.5)"
-_LEGENDRE = "select {by}, sqrt(count(*))::bigint as n, round(sqrt(greatest(avg((35 * pow(c, 4) - 30 * c * c + 3) / 8), 0)), 5) as q4, round(sqrt(greatest(avg((231 * pow(c, 6) - 315 * pow(c, 4) + 105 * c * c - 5) / 16), 0)), 5) as q6 from (select a.*, a.ux * b.ux + a.uy * b.uy + a.uz * b.uz as c from b a join b on {on}) group by all"
+_LEGENDRE = "select {by}, coalesce(n, 0) as n, q4, q6 from (select distinct {by} from a) every left join (select {by}, sqrt(count(*))::bigint as n, round(sqrt(greatest(avg((35 * pow(c, 4) - 30 * c * c + 3) / 8), 0)), 5) as q4, round(sqrt(greatest(avg((231 * pow(c, 6) - 315 * pow(c, 4) + 105 * c * c - 5) / 16), 0)), 5) as q6 from (select a.*, a.ux * b.ux + a.uy * b.uy + a.uz * b.uz as c from b a join b on {on}) group by all) got using ({by})"
 
 
 def _order(spark, sf_dir, by):
@@ -355,7 +353,7 @@ _RADIAL = ", ".join(f"sum(exp(-0.5 * pow((d - {c}) / 0.3, 2))) as r{k}" for k, c
 _MS = ", ".join([f"round(avg(r{k}), 6)" for k in range(3)] + [f"round(stddev_pop(r{k}), 5)" for k in range(3)])
 
 
-@query(f"with {_AP}, w as (select frame, a as atom, d from ap union all select frame, b, d from ap), r as (select frame, atom, {_RADIAL} from w group by 1, 2) select frame, [{_MS}] as x from r group by 1")
+@query(f"with {_AP}, w as (select frame, a as atom, d from ap union all select frame, b, d from ap), g as (select frame, atom, {_RADIAL} from w group by 1, 2), r as (select a.frame, a.atom, coalesce(r0, 0) as r0, coalesce(r1, 0) as r1, coalesce(r2, 0) as r2 from a left join g using (frame, atom)) select frame, [{_MS}] as x from r group by 1")
 def radial_fingerprint(spark, sf_dir):
     """Mean and spread over a frame's atoms of their Gaussian counts of neighbours by distance."""
     got = structures.mean_and_spread(structures.radial_density(atoms(spark, sf_dir), [0.8, 1.4, 2.0], 0.3), 3)

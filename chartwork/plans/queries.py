@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from chartwork.functions import metrics
 from chartwork.functions.transfers import Transfer, parse_transfer
-from chartwork.operators import graph, pairs, projection, stats, structures
+from chartwork.operators import graph, joins, pairs, projection, solvers, stats, structures, trees
+from chartwork.operators.tables import kept, numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,17 +202,20 @@ def pair_histogram(spark, sf_dir):
 
 @query(f"with {_P}{_BOTH} select i, j, round(d, 6) as d, rank::int as rank from k where rank <= 6")
 def knn_graph(spark, sf_dir):
-    return pairs.nearest_neighbours(pairs.all_pairs(vectors(spark, sf_dir)), 6).select("i", "j", R6(F.col("d")).alias("d"), "rank")
+    v = vectors(spark, sf_dir)
+    return joins.nearest_join(v, v, 6, same=True).select("i", "j", R6(F.col("d")).alias("d"), "rank")
 
 
 @query(f"with {_P}{_BOTH} select distinct greatest(i, j) as i, least(i, j) as j, round(d, 6) as d from k where rank <= 6")
 def knn_graph_undirected(spark, sf_dir):
-    return pairs.undirected(pairs.nearest_neighbours(pairs.all_pairs(vectors(spark, sf_dir)), 6)).select("i", "j", R6(F.col("d")).alias("d"))
+    v = vectors(spark, sf_dir)
+    return pairs.undirected(joins.nearest_join(v, v, 6, same=True)).select("i", "j", R6(F.col("d")).alias("d"))
 
 
 @query(f"with {_P}{_BOTH} select i as id, round(d, 6) as bandwidth from k where rank = 5")
 def knn_bandwidth(spark, sf_dir):
-    near = pairs.nearest_neighbours(pairs.all_pairs(vectors(spark, sf_dir)), 5)
+    v = vectors(spark, sf_dir)
+    near = joins.nearest_join(v, v, 5, same=True)
     return near.where("rank = 5").select(F.col("i").alias("id"), R6(F.col("d")).alias("bandwidth"))
 
 
@@ -238,14 +242,14 @@ def radius_degree(spark, sf_dir):
 
 @query(f"with {_L}{_M}, b as (select id, min(struct_pack(d := sqrt(pow(q - lq, 2) + pow(p - lp, 2)), lid := lid)) as b from l, m group by 1) select id, b.lid as nearest, round(b.d, 6) as d from b")
 def nearest_landmark(spark, sf_dir):
-    got = pairs.nearest_landmark(line_points(spark, sf_dir), marks(spark, sf_dir), plane)
+    got = pairs.nearest_landmark(line_points(spark, sf_dir), marks(spark, sf_dir))
     return got.select("id", "nearest", R6(F.col("d")).alias("d"))
 
 
 @query(f"with {_L}{_M}, b as (select id, q, min(struct_pack(d := sqrt(pow(q - lq, 2) + pow(p - lp, 2)), lid := lid)) as b from l, m group by 1, 2), c as (select b.lid as lid, sum(q) as w from b group by 1), f as (select m.lid, sqrt(coalesce(w, 0)) as w from m left join c on c.lid = m.lid) select lid as id, round(w / sum(w) over (), 6) as weight from f")
 def voronoi_mass(spark, sf_dir):
     rows = line_points(spark, sf_dir).withColumn("w", F.col("q"))
-    return pairs.voronoi(rows, marks(spark, sf_dir), plane, 0.5).select("id", R6(F.col("weight")).alias("weight"))
+    return pairs.voronoi(rows, marks(spark, sf_dir), gamma=0.5).select("id", R6(F.col("weight")).alias("weight"))
 
 
 _FPS = """with recursive e as materialized (select vec_id, embedding::double[] x from embeddings),
@@ -432,7 +436,7 @@ def axis_projection(spark, sf_dir):
 
 @query(f"with {_L}{_M} select id, round(sum(exp(-sqrt(pow(q - lq, 2) + pow(p - lp, 2)) / 0.1) * lw * px) / sum(exp(-sqrt(pow(q - lq, 2) + pow(p - lp, 2)) / 0.1) * lw), 6) as px, round(sum(exp(-sqrt(pow(q - lq, 2) + pow(p - lp, 2)) / 0.1) * lw * py) / sum(exp(-sqrt(pow(q - lq, 2) + pow(p - lp, 2)) / 0.1) * lw), 6) as py from l, m group by id")
 def path_projection(spark, sf_dir):
-    got = projection.path_average(line_points(spark, sf_dir), marks(spark, sf_dir), plane, 0.1, ("px", "py"))
+    got = projection.path_average(line_points(spark, sf_dir), marks(spark, sf_dir), 0.1, ("px", "py"))
     return got.select("id", R6(F.col("px")).alias("px"), R6(F.col("py")).alias("py"))
 
 
@@ -441,13 +445,13 @@ _NEAR = f"with {_L}{_M}, n as (select id, lid, px, py, sqrt(pow(q - lq, 2) + pow
 
 @query(_NEAR + " select id, round(sum(px / (d + 1e-8)) / sum(1 / (d + 1e-8)), 6) as px, round(sum(py / (d + 1e-8)) / sum(1 / (d + 1e-8)), 6) as py from n where r <= 5 group by id")
 def knn_projection(spark, sf_dir):
-    got = projection.knn_average(line_points(spark, sf_dir), marks(spark, sf_dir), plane, 5, ("px", "py"))
+    got = projection.knn_average(line_points(spark, sf_dir), marks(spark, sf_dir), 5, ("px", "py"))
     return got.select("id", R6(F.col("px")).alias("px"), R6(F.col("py")).alias("py"))
 
 
 @query(_NEAR + ", w as (select *, max(case when r = 5 then d end) over (partition by id) as eps from n), v as (select *, case when pow(d / greatest(eps, 1e-12), 4) >= 60 then 0 else exp(-pow(d / greatest(eps, 1e-12), 4)) end as w from w) select id, round(sum(w * px) / sum(w), 6) as px, round(sum(w * py) / sum(w), 6) as py from v group by id")
 def affinity_projection(spark, sf_dir):
-    got = projection.affinity_average(line_points(spark, sf_dir), marks(spark, sf_dir), plane, 5, 4.0, ("px", "py"))
+    got = projection.affinity_average(line_points(spark, sf_dir), marks(spark, sf_dir), 5, 4.0, ("px", "py"))
     return got.select("id", R6(F.col("px")).alias("px"), R6(F.col("py")).alias("py"))
 
 
@@ -501,7 +505,7 @@ def reference_match(spark, sf_dir):
 
 def _network(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    edges = pairs.undirected(pairs.nearest_neighbours(pairs.all_pairs(v), 3))
+    edges = kept(pairs.undirected(joins.nearest_join(v, v, 3, same=True)))
     energy = v.select("id", F.get("x", F.lit(0)).alias("e"))
     return v, edges, energy
 
@@ -531,12 +535,86 @@ def energy_basins(spark, sf_dir):
 
 @query()
 def graph_committor(spark, sf_dir):
-    """Committor from vector 0 to vector 1 after thirty sweeps."""
+    """Committor of the Metropolis walk from vector 0 to vector 1."""
     _, edges, energy = _network(spark, sf_dir)
-    q = graph.committor(graph.boltzmann(graph.edge_costs(edges, energy, 2.0), 0.7), [0], [1])
+    q = solvers.committor(solvers.metropolis_conductance(graph.edge_costs(edges, energy, 2.0), 0.7), [0], [1])
+    return q.select("id", R6(F.col("q")).alias("q"))
+
+
+@query("with e as (select vec_id as id, embedding[1]::double as e from embeddings), r as (select id, sum(exp((greatest(e, p) - (select min(e) from e)) / 0.7)) over (order by id) as r from (select id, e, lag(e) over (order by id) as p from e) where p is not null) select e.id, round(coalesce(r, 0) / (select max(r) from r), 6) as q from e left join r on r.id = e.id")
+def chain_committor(spark, sf_dir):
+    """Committor along the chain of all vectors in the order of their ids: resistances of edges in series."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("e"))
+    ends = e.agg(F.min("id"), F.max("id")).first()
+    ranks = kept(numbered(e))
+    after = ranks.select((F.col("nr") - 1).alias("nr"), F.col("id").alias("j"), F.col("e").alias("ej"))
+    costs = ranks.select("nr", F.col("id").alias("i"), F.col("e").alias("ei")).join(after, "nr")
+    q = solvers.committor(solvers.metropolis_conductance(costs, 0.7), [ends[0]], [ends[1]])
     return q.select("id", R6(F.col("q")).alias("q"))
 
 
+def _forest(spark, sf_dir):
+    v, edges, energy = _network(spark, sf_dir)
+    heights = kept(graph.edge_costs(edges, energy, 2.0))
+    return v.select("id"), heights, energy, trees.spanning_forest(v.select("id"), heights, "height")
+
+
+_RANKED = _NET.replace("with ", "with recursive ", 1) + ", h as materialized (select i, j, greatest(ei, ej) + 2 * d as w, row_number() over (order by greatest(ei, ej) + 2 * d, i, j) as nr from c), w as materialized (select i as a, j as b, nr, w from h union all select j, i, nr, w from h)"
+_MST = _RANKED + ", r(nr, i, j, node) as (select nr, i, j, i from h union select r.nr, r.i, r.j, w.b from r join w on w.a = r.node and w.nr < r.nr), t as materialized (select i, j, w from h where nr not in (select nr from r where node = j))"
+
+
+@query(_MST + " select i, j, round(w, 6) as w from t")
+def spanning_forest(spark, sf_dir):
+    """The edges by which the network's pieces merge as the level rises."""
+    return _forest(spark, sf_dir)[3].select("i", "j", R6(F.col("w")).alias("w"))
+
+
+_LEVELS = [0.8, 1.6, 2.0, 2.4]
+
+
+@query(_RANKED + f", v as (select unnest({_LEVELS})::double as level), r(level, id, c) as (select level, id, id from v, e union select r.level, w.b, r.c from r join w on w.a = r.id and w.w <= r.level where r.c < w.b) select level, id, min(c) as basin from r group by 1, 2")
+def superbasins(spark, sf_dir):
+    nodes, _, _, forest = _forest(spark, sf_dir)
+    return trees.superbasins(nodes, forest, _LEVELS)
+
+
+@query(_RANKED + f", v as (select unnest({_LEVELS})::double as level), r(level, id, node) as (select level, id, id from v, e union select r.level, r.id, w.b from r join w on w.a = r.node and w.w <= r.level), f as (select r.id, min(r.level) as level from r join e a on a.id = r.id join e b on b.id = r.node where (b.x[1], b.id) < (a.x[1], a.id) group by 1) select e.id, f.level from e left join f on f.id = e.id")
+def escape_levels(spark, sf_dir):
+    """The first level at which each vector's basin has one of lower energy."""
+    nodes, _, energy, forest = _forest(spark, sf_dir)
+    return trees.escape_levels(nodes, trees.superbasins(nodes, forest, _LEVELS), energy)
+
+
+_PATHS = _RANKED + ", r(source, id, cost) using key (source, id) as (select id, id, {zero}::double from e where id in (0, 7, 19) union select n.source, n.id, n.cost from (select r.source, w.b as id, min({step}) as cost from r join w on w.a = r.id group by 1, 2) n left join recurring.r o on o.source = n.source and o.id = n.id where o.id is null or n.cost < o.cost) select source, id, round(cost, 6) as {name} from r where id <> source"
+
+
+@query(_PATHS.format(zero="-1e308", step="greatest(r.cost, w.w)", name="saddle"))
+def saddle_heights(spark, sf_dir):
+    """The lowest pass from three vectors to all others, along the spanning forest."""
+    forest = _forest(spark, sf_dir)[3]
+    got = trees.path_costs(forest, spark.createDataFrame([(0,), (7,), (19,)], "id long"), combine="max")
+    return got.where("source <> id").select("source", "id", R6(F.col("cost")).alias("saddle"))
+
+
+@query(_PATHS.replace("greatest(ei, ej) + 2 * d as w", "d as w").format(zero="0", step="r.cost + w.w", name="geodesic"))
+def graph_geodesics(spark, sf_dir):
+    """Distances from three landmarks to all vectors along the network."""
+    _, edges, _ = _network(spark, sf_dir)
+    got = trees.path_costs(edges, spark.createDataFrame([(0,), (7,), (19,)], "id long"), "d")
+    return got.where("source <> id").select("source", "id", R6(F.col("cost")).alias("geodesic"))
+
+
+_STITCH = "with recursive {p}{both}, k3 as materialized (select distinct greatest(i, j) as i, least(i, j) as j, d from k where rank <= 2), o as materialized (select i as a, j as b from k3 union all select j, i from k3), l(id, c) as (select id, id from e union select o.b, l.c from l join o on o.a = l.id where l.c < o.b), c as materialized (select id, min(c) as c from l group by id), h as materialized (select i, j, d, a.c as ci, b.c as cj, row_number() over (order by d, i, j) as nr from p join c a on a.id = i join c b on b.id = j where a.c <> b.c qualify row_number() over (partition by least(a.c, b.c), greatest(a.c, b.c) order by d, i, j) = 1), w as materialized (select ci as a, cj as b, nr from h union all select cj, ci, nr from h), r(nr, cj, node) as (select nr, cj, ci from h union select r.nr, r.cj, w.b from r join w on w.a = r.node and w.nr < r.nr)"
+
+
+@query(_STITCH.format(p=_P, both=_BOTH) + " select i, j, round(d, 6) as d, false as added from k3 union all select i, j, round(d, 6), true from h where nr not in (select nr from r where node = cj)")
+def stitched_network(spark, sf_dir):
+    """The graph of two neighbours each, its pieces joined by the shortest pairs between them."""
+    v = vectors(spark, sf_dir)
+    own = kept(pairs.undirected(joins.nearest_join(v, v, 2, same=True)))
+    return trees.stitched(v.select("id"), own, pairs.all_pairs(v)).select("i", "j", R6(F.col("d")).alias("d"), "added")
+
+
 @query(f"with {_HIST}, f as (select iy, ix, -ln(count) as v from h where count > 0) select a.iy::int as iy, a.ix::int as ix, round(a.v, 6) as f from f a where not exists (select 1 from f b where abs(a.iy - b.iy) <= 1 and abs(a.ix - b.ix) <= 1 and (a.iy <> b.iy or a.ix <> b.ix) and (b.v < a.v or b.v = a.v and (b.iy < a.iy or b.iy = a.iy and b.ix < a.ix)))")
 def grid_minima(spark, sf_dir):
     h = stats.histogram2d(lines(spark, sf_dir), "q", "p", _BOX, 16, 16)
@@ -565,14 +643,14 @@ def distance_fill(spark, sf_dir):
 # ---------------------------------------------------------------- structures
 
 
-@query(f"with {_AP} select frame, round(sum(d), 6) as total, round(min(d), 6) as least, round(max(d), 6) as most, count(*) as n from ap group by 1")
+@query(f"with {_AP} select a.frame, round(coalesce(sum(d), 0), 6) as total, round(min(d), 6) as least, round(max(d), 6) as most, count(d) as n from (select distinct frame from a) a left join ap on ap.frame = a.frame group by 1")
 def frame_distances(spark, sf_dir):
     x = structures.sorted_distances(atoms(spark, sf_dir))
     total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
-    return x.select("frame", R6(total).alias("total"), R6(F.element_at("x", 1)).alias("least"), R6(F.element_at("x", -1)).alias("most"), F.size("x").cast("long").alias("n"))
+    return x.select("frame", R6(total).alias("total"), R6(F.try_element_at("x", F.lit(1))).alias("least"), R6(F.try_element_at("x", F.lit(-1))).alias("most"), F.size("x").cast("long").alias("n"))
 
 
-@query(f"with {_AP} select frame, round(case when count(*) filter (d <= 0) = 0 then sum(4 * (pow(d, -12) - pow(d, -6))) end, 6) as e from ap group by 1")
+@query(f"with {_AP} select a.frame, round(case when count(*) filter (d <= 0) = 0 then coalesce(sum(4 * (pow(d, -12) - pow(d, -6))), 0) end, 6) as e from (select distinct frame from a) a left join ap on ap.frame = a.frame group by 1")
 def frame_energy(spark, sf_dir):
     return structures.lennard_jones(atoms(spark, sf_dir)).select("frame", R6(F.col("e")).alias("e"))
 

@@ -108,9 +108,9 @@ def test_landmarks(spark):
     df = cloud(spark, rng.normal(size=(60, 2)).tolist())
     drawn = [r["id"] for r in pairs.random_points(df, 10, 5).collect()]
     assert len(set(drawn)) == 10 and drawn == [r["id"] for r in pairs.random_points(df.repartition(3), 10, 5).collect()]
-    staged = ids(pairs.staged_points(df, 20, 6))
+    staged = ids(pairs.staged_points(df, 6, 0))
     assert len(set(staged)) == 6
-    packed = pairs.packed(df, pairs.farthest_points(df, 5, 0), lambda a, b: metrics.euclid(a, b, 2)).collect()
+    packed = pairs.packed(df, pairs.farthest_points(df, 5, 0)).collect()
     assert sum(r["w"] for r in packed) == 60 and len(packed) == 5
 
 

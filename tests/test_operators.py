@@ -90,7 +90,7 @@ def test_farthest_and_voronoi(spark):
     assert [r["id"] for r in pairs.farthest_points(square, 3, 0).orderBy("step").collect()] == [0, 3, 1]
     assert pairs.farthest_points(cloud(spark, [(0,), (0,)]), 5, 0, every=1).count() == 2
     line = cloud(spark, [(0,), (0.1,), (0.2,), (10,)]).withColumn("w", F.lit(1.0))
-    cells = pairs.voronoi(line, line.where("id in (0, 3)"), lambda a, b: metrics.euclid(a, b, 1))
+    cells = pairs.voronoi(line, line.where("id in (0, 3)"))
     assert {r["id"]: r["weight"] for r in cells.collect()} == {0: 0.75, 3: 0.25}
     assert sorted(r["id"] for r in pairs.stride_points(cloud(spark, [(i,) for i in range(6)]), 3).collect()) == [0, 2, 4]
 
@@ -143,7 +143,7 @@ def test_projection(spark):
     assert (spots[0]["x"], spots[0]["y"], spots[0]["nearest"]) == (0, 1, 2)
     assert spots[1]["x"] == pytest.approx(1, abs=0.05) and spots[1]["y"] == pytest.approx(1, abs=0.05)
     dist = lambda a, b: metrics.euclid(a, b, 2)
-    near = {r["id"]: r for r in projection.knn_average(rows, marks, dist, 1, ("px", "py")).collect()}
+    near = {r["id"]: r for r in projection.knn_average(rows, marks, 1, ("px", "py")).collect()}
     assert near[0]["py"] == pytest.approx(1)
 
 
