@@ -116,7 +116,8 @@ class Flattener:
 
 def _number(value: Any) -> float:
     """A size as a number; what is null, not finite or below 0 counts as 0."""
-    return float(value) if value is not None and math.isfinite(value) and value > 0 else 0.0
+    number = float(value) if value is not None else 0.0  # JSON has "NaN" and "Infinity" as strings
+    return number if math.isfinite(number) and number > 0 else 0.0
 
 
 def format_turns(
@@ -271,8 +272,7 @@ def whole_conversations(segments: DataFrame) -> DataFrame:
         if begun:
             yield pd.DataFrame([(key, "".join(texts), spans, attached, tokens)], columns=names).astype({"conv_id": "Int64"})
 
-    fields = [f.strip() for f in SEGMENT.replace("turn long, ", "").split(";")][0]
-    return kept.mapInPandas(run, fields)
+    return kept.mapInPandas(run, SEGMENT.replace("turn long, ", ""))
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
