@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartwork.functions.transfers import Transfer, parse_transfer
-from chartwork.operators import graph, pairs, projection, stats, structures
+from chartwork.operators import graph, pairs, projection, spectral, stats, structures
 from chartwork.plans.queries import _AP, _BOTH, _BOX, _HIST, _L, _M, _NET, _P, _TRANSFERS, _XY, R6, _both, _network, atoms, line_points, lines, marks, plane, query, table, vectors
 
 # ---------------------------------------------------------------- slopes
@@ -242,6 +242,41 @@ def phate_potential(spark, sf_dir):
     return t.groupBy("i").agg(F.count("*").alias("n"), R6(F.sum("p")).alias("total"), F.round(F.sum(log), 4).alias("log_potential"), F.round(F.sum(root), 5).alias("root_potential"))
 
 
+_MODE = (
+    _KERN.replace("with ", "with recursive ", 1)
+    + """, a as materialized (select i, j, w from g2 union all select i, i, 1.0 from dg),
+m0 as materialized (select x.i, list(coalesce(a.w, 0) / sqrt(x.deg * y.deg) - sqrt(x.deg * y.deg) / (select sum(deg) from dg) order by y.i) as row from dg x cross join dg y left join a on a.i = x.i and a.j = y.i group by x.i),
+"""
+    + ", ".join(f"m{k + 1} as materialized (select x.i, list(list_dot_product(x.row, y.row) order by y.i) as row from m{k} x cross join m{k} y group by x.i)" for k in range(8))
+    + """,
+mode(step, v) as (
+  select 0, (select list(sin(7 * i + 1.0) order by i) from dg)
+  union all
+  select step + 1, list_transform(y, lambda t: t / sqrt(list_dot_product(y, y))) from (
+    select o.step, (select list(list_dot_product(m8.row, o.v) order by m8.i) from m8) as y from mode o where o.step < 300))"""
+)
+
+
+def _slow(spark, sf_dir):
+    kernel = stats.phate_kernel(pairs.all_pairs(vectors(spark, sf_dir)), 5, 10.0)
+    return spectral.slow_mode(kernel)
+
+
+@query(_MODE + """, last as (select v from mode order by step desc limit 1), z as (select list_position(list_transform(v, lambda t: abs(t)), list_max(list_transform(v, lambda t: abs(t)))) as k, v from last)
+select i as id, round(z.v[nr] * sign(z.v[z.k]), 5) as psi from (select i, row_number() over (order by i) as nr from dg), z""")
+def slow_mode(spark, sf_dir):
+    """The second eigenvector of the walk on the kernel of all vectors."""
+    return _slow(spark, sf_dir)[1].select("id", F.round("psi", 5).alias("psi"))
+
+
+@query(f"with {_P} select id, round(sqrt(pow(x[1] - (select avg(x[1]) from e), 2) + pow(x[2] - (select avg(x[2]) from e), 2)), 5) as r from e")
+def distance_scaling(spark, sf_dir):
+    """Distance of every vector from the centre of the map that pair distances alone give."""
+    p = _both(spark, sf_dir).select("i", "j", F.col("dl").alias("d"))
+    _, y = spectral.randomized_scaling(p, 2)
+    return y.select("id", F.round(F.sqrt(F.aggregate("y", F.lit(0.0), lambda s, v: s + v * v)), 5).alias("r"))
+
+
 # ---------------------------------------------------------------- graphs and grids
 
 
