@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartwork.functions.transfers import Transfer, parse_transfer
-from chartwork.operators import graph, pairs, projection, spectral, stats, structures
+from chartwork.operators import graph, joins, mapping, pairs, projection, spectral, stats, structures
 from chartwork.plans.queries import _AP, _BOTH, _BOX, _HIST, _L, _M, _NET, _P, _TRANSFERS, _XY, R6, _both, _network, atoms, line_points, lines, marks, plane, query, table, vectors
 
 # ---------------------------------------------------------------- slopes
@@ -277,6 +277,28 @@ def distance_scaling(spark, sf_dir):
     return y.select("id", F.round(F.sqrt(F.aggregate("y", F.lit(0.0), lambda s, v: s + v * v)), 5).alias("r"))
 
 
+_SWEEPS = f"with {_P}, s0 as (select id, x[1] - avg(x[1]) over () as x, x[2] - avg(x[2]) over () as y from e)" + "".join(
+    f", q{k} as materialized (select i, j, p.d as t, a.x - b.x as gx, a.y - b.y as gy, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d from p join s{k} a on a.id = i join s{k} b on b.id = j), s{k + 1} as materialized (select id, sum(gx) / (count(*) + 1) as x, sum(gy) / (count(*) + 1) as y from (select i as id, t / d * gx as gx, t / d * gy as gy from q{k} union all select j, -t / d * gx, -t / d * gy from q{k}) group by 1)"
+    for k in range(4)
+)
+
+
+@query(_SWEEPS + " " + " union all ".join(f"select {k} as sweep, round(sum(pow(d - t, 2)), 4) as stress from q{k}" for k in range(4)))
+def smacof_stress(spark, sf_dir):
+    """The stress of three sweeps of majorisation from the first two dimensions."""
+    v = vectors(spark, sf_dir)
+    start = v.select("id", F.slice("x", 1, 2).alias("x"))
+    _, history = mapping.majorised(pairs.all_pairs(v).withColumnRenamed("d", "t"), start, sweeps=3, tolerance=0.0)
+    return spark.createDataFrame(list(enumerate(history)), "sweep int, stress double").select("sweep", F.round("stress", 4).alias("stress"))
+
+
+@query(f"with recursive {_P}, n as materialized (select a.id, list(p.j) filter (p.j is not null) as l from e a left join (select p.* from p join e x on x.id = i join e y on y.id = j where x.label = y.label and d < 1.1) p on p.i = a.id group by 1), r(k, reps) as (select -1::bigint, []::bigint[] union all select k + 1, case when list_has_any(coalesce(l, []), reps) then reps else list_append(reps, k + 1) end from r join n on n.id = k + 1) select id, case when list_contains(reps, id) then id else list_min(list_intersect(l, reps)) end as rep from n, (select reps from r order by k desc limit 1)")
+def unique_representatives(spark, sf_dir):
+    """Vectors of a label within 1.1 of an earlier representative go to it."""
+    v = vectors(spark, sf_dir)
+    return mapping.representatives(v, joins.radius_join(v, 1.1), "label")
+
+
 # ---------------------------------------------------------------- graphs and grids
 
 
