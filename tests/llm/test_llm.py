@@ -665,3 +665,54 @@ def test_mixing_decides_the_slots(spark, table):
     assert {k: set(v) for k, v in with_stage.items()} == {k: set(v) for k, v in without.items()} and with_stage != without
     assert sharded(corpus_pipeline.mixing(spark, rows, "")) == with_stage
     assert corpus_pipeline.sharding(spark, frame(spark, []), "").count() == 0
+
+
+def test_ends_without_hope_end_where_the_table_does():
+    from chartwork.llm import substrings
+
+    rng, told = random.Random(1), 0
+    for _ in range(1500):
+        size = rng.choice([5, 20, 60, 400])
+        x, y = (np.array([rng.randrange(size) for _ in range(rng.randrange(1, 90))], np.int32) for _ in range(2))
+        if rng.random() < 0.5:
+            k = rng.randrange(20)
+            y = np.concatenate([y[:k], x[k // 2 : k // 2 + rng.randrange(5, 30)], y[k:]])
+        if x[0] == y[0] or any(substrings._resumes(x, i, y, j) for i, j in substrings.STEPS):
+            continue
+        if substrings._hopeless(x, y):
+            told += 1
+            found = substrings._table(x, y)
+            assert found[:3] == (0, 0, 0) and not found[4]
+    assert told > 100
+
+
+def test_chains_of_one_diagonal_are_one():
+    from chartwork.llm.substrings import _by_diagonal, alignments
+
+    assert sorted(_by_diagonal([(0, 9, 5, 14, 5, 5), (50, 60, 55, 65, 5, 5), (1, 2, 9, 10, 8, 8), (3, 30, 4, 33, 1, 3)])) == [(0, 60, 5, 65, 5, 5), (1, 2, 9, 10, 8, 8), (3, 30, 4, 33, 1, 3)]
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 10**6, 400).astype(np.int32)
+    y = x.copy()
+    y[:20] += 10**7
+    y[90:200] += 10**7  # two passages on the diagonal, apart
+    y[330:] += 10**7
+    got = sorted(alignments(x, y, 0, 0, (30, 320), 30, 50))
+    assert [g[:2] for g in got] == [(20, 90), (200, 330)]
+
+
+@pytest.mark.parametrize("changed", [0.05, 0.1])
+def test_recall_of_changed_passages(spark, changed):
+    """Passages of 60 to 120 words of which a part is changed, against an alignment of the whole texts."""
+    rng, rows, pairs = random.Random(int(changed * 100)), [], []
+    for k in range(60):
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(rng.choice([60, 80, 100, 120]))]
+        other = [f"c{rng.randrange(10**6)}" if rng.random() < changed else w for w in passage]
+        own = [[f"o{rng.randrange(10**6)}" for _ in range(40)] for _ in range(4)]
+        texts = [" ".join([*own[0], *passage, *own[1]]), " ".join([*own[2], *other, *own[3]])]
+        rows += [(2 * k, texts[0], "en", "s", 0), (2 * k + 1, texts[1], "en", "s", 0)]
+        ids = [np.array([zlib.crc32(w.encode()) & 0x7FFFFFFF for w in t.split()], np.int32) for t in texts]
+        best = align(ids[0], ids[1], -250, 250)
+        if best and min(best[1] - best[0], best[3] - best[2]) >= 50 and best[4] >= 0.8:
+            pairs.append((2 * k + 1, 2 * k))
+    found = {(r["doc_id"], r["ref_doc_id"]) for r in repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(pairs) >= 40 and sum(p in found for p in pairs) >= 0.9 * len(pairs)
