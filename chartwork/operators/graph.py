@@ -52,22 +52,6 @@ def basins(costs: DataFrame, energy: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"basins did not settle in {rounds} rounds")
 
 
-def committor(weights: DataFrame, sources: list[int], sinks: list[int], rounds: int = 30, every: int = 10) -> DataFrame:
-    """(id, q) after ``rounds`` sweeps: q is 0 at sources, 1 at sinks, elsewhere the weighted mean of its neighbours.
-
-    Each sweep is one join and one sum by key; the lineage is cut each ``every`` sweeps.
-    """
-    ways = kept(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), "w").unionByName(weights.select(F.col("j").alias("a"), F.col("i").alias("b"), "w")))
-    fixed = F.when(F.col("id").isin(sources), 0.0).when(F.col("id").isin(sinks), 1.0)
-    now = ways.select(F.col("a").alias("id")).distinct().select("id", F.coalesce(fixed, F.lit(0.5)).alias("q"))
-    for r in range(rounds):
-        mean = ways.join(now.select(F.col("id").alias("b"), "q"), "b").groupBy(F.col("a").alias("id")).agg((F.sum(F.col("w") * F.col("q")) / F.sum("w")).alias("m"))
-        now = mean.select("id", F.coalesce(fixed, F.col("m")).alias("q"))
-        if (r + 1) % every == 0:
-            now = kept(now)
-    return now
-
-
 # ---------------------------------------------------------------- cells of a grid
 
 

@@ -293,3 +293,21 @@ def stride_points(df: DataFrame, k: int) -> DataFrame:
     step = max(n // max(k, 1), 1)
     # numbers by range: no window over the whole table
     return numbered(df.select("id")).where((F.col("nr") % step == 0) & (F.col("nr") < step * k)).select((F.col("nr") / step).cast("int").alias("ord"), "id")
+
+
+def select_points(df: DataFrame, mode: str, k: int, start: int | None = None, seed: int = 0, gamma: float = 1.0) -> DataFrame:
+    """(ord, id) of k landmarks by ``mode``: ``farthest`` and ``staged`` (from ``start``, else the least id), ``stride`` or ``random``.
+
+    An empty table gives no landmark, fewer rows than k all of them.
+    """
+    if mode not in ("farthest", "staged", "stride", "random"):
+        raise ValueError(f"not a mode: {mode!r}")
+    least = df.agg(F.min("id")).first()[0]
+    if least is None:
+        return df.sparkSession.createDataFrame([], "ord int, id long")
+    start = least if start is None else start
+    if mode == "farthest":
+        return farthest_points(df, k, start).select(F.col("step").alias("ord"), "id")
+    if mode == "staged":
+        return staged_points(df, k, start, seed, gamma)
+    return stride_points(df, k) if mode == "stride" else random_points(df, k, seed)

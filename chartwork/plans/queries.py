@@ -475,7 +475,25 @@ def principal_variances(spark, sf_dir):
     return spark.createDataFrame([got.variance], "v1 double, v2 double").select(R6(F.col("v1")).alias("v1"), R6(F.col("v2")).alias("v2"))
 
 
-@query()
+def _leading_axis(name: str, squares: int = 13) -> str:
+    """SQL of the leading unit vector <name>v of a symmetric matrix <name>0 (i, row), by squaring it again and again."""
+    steps = ", ".join(
+        f"{name}{k + 1} as materialized (select x.i, list(list_dot_product(x.row, y.row) / t.t order by y.i) as row from {name}{k} x cross join {name}{k} y cross join (select sum(list_dot_product(row, row)) as t from {name}{k}) t group by x.i)" for k in range(squares)
+    )
+    unit = "list_transform(row, lambda t: t / sqrt(list_dot_product(row, row)))"
+    return steps + f", {name}v as materialized (select list_transform(u, lambda t: t * sign(list_filter(u, lambda f: abs(f) > 1e-12)[1])) as v from (select {unit} as u from {name}{squares} order by row[i] desc limit 1))"
+
+
+_MAP = (
+    f"with {_P}, u as (select id, unnest(x) as v, generate_subscripts(x, 1) as k from e), mu as (select k, avg(v) as m from u group by k), z as materialized (select u.id, u.k, v - m as v from u join mu on mu.k = u.k), c0 as materialized (select i, list(c order by j) as row from (select a.k as i, b.k as j, sum(a.v * b.v) as c from z a join z b on a.id = b.id group by 1, 2) group by i), "
+    + _leading_axis("c")
+    + ", top as (select sum(v[i] * list_dot_product(row, v)) as l from c0, cv), d0 as materialized (select i, list_transform(row, lambda t, k: t - l * v[i] * v[k]) as row from c0, cv, top), "
+    + _leading_axis("d")
+    + ", y as materialized (select id, sum(z.v * cv.v[k]) as a, sum(z.v * dv.v[k]) as b from z, cv, dv group by id)"
+)
+
+
+@query(_MAP + " select id, round(a, 6) as x, round(b, 6) as y from y")
 def classical_scaling(spark, sf_dir):
     """Coordinates of all vectors on the two axes of largest variance."""
     v = vectors(spark, sf_dir)
@@ -712,7 +730,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.joint_histogram(p.select("i", "j", F.col("d").alias("dh"), dl.alias("dl")), 40, 2.0, 1.5)
 
 
-query()(flagship)
+query(_MAP + ", q as (select d as dh, sqrt(pow(s.a - t.a, 2) + pow(s.b - t.b, 2)) as dl from p join y s on s.id = p.i join y t on t.id = p.j) select case when dh < 2.0 and dl < 1.5 then floor(dh / 2.0 * 40)::int end as ih, case when dh < 2.0 and dl < 1.5 then floor(dl / 1.5 * 40)::int end as il, count(*) as count from q group by 1, 2")(flagship)
 
 # registers its own queries; at the end, as it uses the tables above
 from chartwork.plans import maps  # noqa: E402, F401

@@ -224,3 +224,61 @@ def test_maps_from_distances(spark):
     both = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(x[:, :2], turned, strict=True)], "a double, b double, c double, d double")
     r = projection.procrustes(both, ("a", "b"), ("c", "d")).first()
     assert r["scale"] == pytest.approx(0.4) and r["residual"] == pytest.approx(0, abs=1e-9)
+
+
+def test_correlations_don_t_depend_on_the_partitioning(spark):
+    rng = random.Random(2)
+    rows = [(i, j, float(rng.randrange(1, 5)), float(rng.randrange(1, 4))) for i in range(14) for j in range(i)]
+    df = spark.createDataFrame(rows, "i long, j long, dh double, dl double")
+    got = [tuple(stats.correlations(df.repartition(k, c)).first()) for k, c in ((1, "i"), (3, "j"), (7, "dh"))]
+    assert got[0] == pytest.approx(got[1], rel=1e-12) and got[0] == pytest.approx(got[2], rel=1e-12)
+
+
+def test_landmarks_refuse_what_isn_t_a_point(spark):
+    marks = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 0.0])], "id long, x array<double>")
+    rows = spark.createDataFrame([(5, [1.0, 0.0]), (6, [3.0, 4.0])], "id long, x array<double>")
+    assert {r["id"]: (r["nearest"], r["d"]) for r in pairs.nearest_landmark(rows, marks).collect()} == {5: (0, 1.0), 6: (1, 17 ** 0.5)}
+    for bad in ([float("nan"), 0.0], [1.0], None, [None, 1.0]):
+        broken = rows.unionByName(spark.createDataFrame([(7, bad)], "id long, x array<double>"))
+        with pytest.raises(Exception, match="points must be finite"):
+            pairs.nearest_landmark(broken, marks).collect()
+    assert pairs.nearest_landmark(rows.limit(0), marks).count() == 0
+    plan = pairs.nearest_landmark(rows, marks)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_frames_of_one_atom_have_rows(spark):
+    rows = [(1, 0, 0.0, 0.0, 0.0), (2, 0, 0.0, 0.0, 0.0), (2, 1, 1.0, 0.0, 0.0), (3, 0, 0.0, 0.0, 0.0), (3, 1, 9.0, 0.0, 0.0)]
+    atoms = spark.createDataFrame(rows, "frame long, atom long, x double, y double, z double")
+    assert {r["frame"]: r["e"] for r in structures.lennard_jones(atoms).collect()}[1] == 0.0
+    assert {r["frame"]: r["x"] for r in structures.sorted_distances(atoms).collect()} == {1: [], 2: [1.0], 3: [9.0]}
+    order = {r["frame"]: (r["n"], r["q6"]) for r in structures.bond_order(atoms, 1.5).collect()}
+    assert order[1] == (0, None) == order[3] and order[2][0] == 2
+    assert {(r["frame"], r["atom"]): r["x"] for r in structures.radial_density(atoms, [1.0], 0.5).collect()}[(1, 0)] == [0.0]
+
+
+def test_box_of_no_points(spark):
+    assert stats.padded_box(spark.createDataFrame([], "x double, y double"), "x", "y") == pytest.approx((-0.05, 0.05, -0.05, 0.05))
+
+
+def test_staged_draw_takes_cells_by_mass(spark):
+    rows = [(i, [float(i % 2) * 100 + i * 1e-3]) for i in range(40)] + [(100, [500.0])]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    first = [r["id"] for r in pairs.staged_points(df, 10, 0, 3).orderBy("ord").collect()]
+    assert first == [r["id"] for r in pairs.staged_points(df.repartition(5), 10, 0, 3).orderBy("ord").collect()]
+    assert len(set(first)) == 10
+    # evenly over space, the lone point is drawn nearly always; as rows lie, seldom
+    even = sum(100 in [r["id"] for r in pairs.staged_points(df, 3, 0, s, gamma=0.0).collect()] for s in range(4))
+    assert even >= 2
+
+
+def test_landmarks_by_mode(spark):
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(3, 12)], "id long, x array<double>")
+    for mode in ("farthest", "staged", "stride", "random"):
+        got = [r["id"] for r in pairs.select_points(df, mode, 3, seed=1).orderBy("ord").collect()]
+        assert len(set(got)) == 3, mode
+        assert pairs.select_points(df, mode, 99).count() == 9, mode
+        assert pairs.select_points(df.limit(0), mode, 3).count() == 0
+    assert [r["id"] for r in pairs.select_points(df, "farthest", 2).orderBy("ord").collect()] == [3, 11]
+    with pytest.raises(ValueError, match="not a mode"):
+        pairs.select_points(df, "other", 3)

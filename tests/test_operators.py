@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chartwork.functions import metrics
 from chartwork.functions.transfers import lower_gamma, parse_transfer
-from chartwork.operators import graph, pairs, projection, stats, structures
+from chartwork.operators import graph, pairs, projection, solvers, stats, structures
 from chartwork.sources import text
 from chartwork.streaming.maps import windowed_histogram
 
@@ -156,7 +156,7 @@ def test_graph(spark):
     costs = graph.edge_costs(edges, energy)
     assert {r["id"]: r["basin"] for r in graph.basins(costs, energy).collect()} == {0: 0, 1: 0, 2: 3, 3: 3, 4: 4, 5: 6, 6: 6, 7: 7}
     even = edges.where("i < 4").select("i", "j", F.lit(1.0).alias("w"))
-    q = {r["id"]: r["q"] for r in graph.committor(even, [0], [3], 80).collect()}
+    q = {r["id"]: r["q"] for r in solvers.committor(even, [0], [3]).collect()}
     assert [q[i] for i in range(4)] == pytest.approx([0, 1 / 3, 2 / 3, 1], abs=1e-6)
 
 
