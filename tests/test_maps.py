@@ -108,7 +108,7 @@ def test_landmarks(spark):
     df = cloud(spark, rng.normal(size=(60, 2)).tolist())
     drawn = [r["id"] for r in pairs.random_points(df, 10, 5).collect()]
     assert len(set(drawn)) == 10 and drawn == [r["id"] for r in pairs.random_points(df.repartition(3), 10, 5).collect()]
-    staged = ids(pairs.staged_points(df, 6, 0))
+    staged = [r["id"] for r in pairs.staged_points(df, 6, 0).collect()]
     assert len(set(staged)) == 6
     packed = pairs.packed(df, pairs.farthest_points(df, 5, 0)).collect()
     assert sum(r["w"] for r in packed) == 60 and len(packed) == 5
@@ -267,9 +267,9 @@ def test_staged_draw_takes_cells_by_mass(spark):
     first = [r["id"] for r in pairs.staged_points(df, 10, 0, 3).orderBy("ord").collect()]
     assert first == [r["id"] for r in pairs.staged_points(df.repartition(5), 10, 0, 3).orderBy("ord").collect()]
     assert len(set(first)) == 10
-    # evenly over space, the lone point is drawn nearly always; as rows lie, seldom
-    even = sum(100 in [r["id"] for r in pairs.staged_points(df, 3, 0, s, gamma=0.0).collect()] for s in range(4))
-    assert even >= 2
+    # a large power of the inverse mass: the lone point's cell comes first
+    lone = [100 in [r["id"] for r in pairs.staged_points(df, 3, 0, s, gamma=-6.0).collect()] for s in range(2)]
+    assert all(lone)
 
 
 def test_landmarks_by_mode(spark):
