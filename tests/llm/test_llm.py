@@ -427,6 +427,51 @@ def test_hosts_without_articles(spark):
     assert {r["page_id"]: r["text"] for r in found.collect()} == want
 
 
+def test_repeats_of_hosts_cut_no_sentence(spark):
+    rng = random.Random(11)
+    say = {n: [sentence(rng, n, 10**6) for _ in range(40)] for n in (5, 15, 20, 40)}
+    rows, want = [], {}
+
+    def page(key, host, blocks, text, url=None):
+        rows.append((key, url or f"https://{host}.org/{key}", "".join(b if b.startswith("<") else f"<div>{b}</div>" for b in blocks)))
+        want[key] = "\n".join(text)
+
+    # a short block of three pages goes, a sentence that starts like others stays; two pages share no short block
+    for i in range(6):
+        page(i, "a", ["Read more here", f"<p>{say[15][i]}</p>"], [say[15][i]])
+    # pages of which most is common count as copies
+    for i in range(80, 86):
+        page(i, "i", ["Read more here", f"<p>body text is unique {i}</p>"], ["Read more here", f"body text is unique {i}"])
+    for i in range(10, 12):
+        page(i, "b", ["Read more here", say[15][i]], ["Read more here", say[15][i]])
+    # sentences that differ in one number
+    for i in range(20, 24):
+        body = f"{say[20][0]} {i} {say[20][1]}"
+        page(i, "c", [body, say[5][i]], [body, say[5][i]])
+    # a host of two pages loses its long furniture, at the start of a block and as a block, in <main> too
+    for i in range(30, 32):
+        parts = [say[15][0], f"{say[15][1]} {say[20][i]}", say[20][i - 10]]
+        page(i, "d", ["<main>", *parts, "</main>"] if i == 31 else parts, [say[20][i], say[20][i - 10]])
+    # copies at two urls, and a page fetched again, keep their text
+    for i in range(40, 42):
+        page(i, "e", [say[40][0], say[15][2], say[20][2]], [say[40][0], say[15][2], say[20][2]])
+    for i in range(50, 52):
+        page(i, "f", [say[40][i - 40], say[15][3]], [say[40][i - 40], say[15][3]], "https://f.org/x")
+    # headings that pages share are theirs; what is a footer elsewhere goes where it is not marked
+    for i in range(60, 64):
+        page(i, "g", ["<h2>Introduction</h2>", say[20][i - 50]], ["Introduction", say[20][i - 50]])
+    for i in range(70, 73):
+        foot = f"<footer>{say[15][5]}</footer>" if i < 72 else say[15][5]
+        page(i, "h", [f"<article>{say[40][i - 60]}</article>{foot}" if i < 72 else say[40][i - 60], *([] if i < 72 else [foot])], [say[40][i - 60]])
+    rows = [(k, u, h if h.startswith("<") else f"<div>{h}</div>") for k, u, h in rows]
+    found = extract_text(frame(spark, rows, "page_id long, url string, html string").repartition(5))
+    assert {r["page_id"]: r["text"] for r in found.collect()} == want
+
+
+def test_names_in_camel_case():
+    assert main_blocks('<body><p>a</p><div class="cookieBanner">gone</div><div id="sponsoredContent">gone</div><div class="sharePrice">b</div></body>') == ["a", "b"]
+
+
 def test_extraction_of_given_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     for r in rows:
