@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartwork.functions.transfers import Transfer, parse_transfer
-from chartwork.operators import graph, joins, mapping, pairs, projection, spectral, stats, structures
-from chartwork.plans.queries import _AP, _BOTH, _BOX, _HIST, _L, _M, _NET, _P, _TRANSFERS, _XY, R6, _both, _network, atoms, line_points, lines, marks, plane, query, table, vectors
+from chartwork.operators import communities, graph, joins, mapping, matching, pairs, projection, spectral, stats, structures
+from chartwork.plans.queries import _A, _AP, _BOTH, _E, _BOX, _HIST, _L, _M, _NET, _P, _TRANSFERS, _XY, R6, _both, _network, atoms, line_points, lines, marks, plane, query, table, vectors
 
 # ---------------------------------------------------------------- slopes
 
@@ -425,3 +425,41 @@ def committor_plane(spark, sf_dir):
     d = line_points(spark, sf_dir).withColumn("a", F.array(F.lit(0.1137), F.lit(0.0971))).withColumn("b", F.array(F.lit(0.8951), F.lit(0.7313)))
     d = d.select("id", metrics.euclid("x", "a", 2).alias("da"), metrics.euclid("x", "b", 2).alias("db"))
     return structures.committor_plane(d, "da", "db").select("id", R6(F.col("q")).alias("q"), R6(F.col("r")).alias("r"))
+
+# ---------------------------------------------------------------- structures in any order, communities
+
+
+def _like_frames(spark, sf_dir):
+    """Pairs of orders of one customer with as many line items."""
+    at = structures.positions(atoms(spark, sf_dir)).withColumn("n", F.size("xyz"))
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame"), "o_custkey")
+    rows = at.join(own, "frame")
+    i = rows.select("o_custkey", "n", F.col("frame").alias("i"), F.col("xyz").alias("xi"))
+    j = rows.select("o_custkey", "n", F.col("frame").alias("j"), F.col("xyz").alias("xj"))
+    return i.join(j, ["o_custkey", "n"]).where("j < i").select("i", "j", "xi", "xj")
+
+
+# the least cost over sets of taken atoms, one atom of i at a time
+_ORDERS = f"with recursive {_A}, f as materialized (select frame, row_number() over (partition by frame order by atom) - 1 as k, count(*) over (partition by frame) as n, x, y, z from a), o as (select distinct frame, n, o_custkey from f join orders on o_orderkey = frame), pr as materialized (select a.frame as i, b.frame as j, a.n from o a join o b on a.o_custkey = b.o_custkey and a.n = b.n and b.frame < a.frame), c as materialized (select i, j, p.k as r, (1::bigint << q.k) as bit, pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2) as w from pr join f p on p.frame = i join f q on q.frame = j), s as (select i, j, n, 0::bigint as k, 0::bigint as mask, 0::double as w from pr union all select s.i, s.j, s.n, s.k + 1, s.mask | c.bit, min(s.w + c.w) from s join c on c.i = s.i and c.j = s.j and c.r = s.k where s.mask & c.bit = 0 group by 1, 2, 3, 4, 5)"
+
+
+@query(_ORDERS + " select i, j, round(sqrt(w / n), 6) as d from s where k = n")
+def assignment_distance(spark, sf_dir):
+    got = matching.assignment_distance(_like_frames(spark, sf_dir))
+    return got.select("i", "j", R6(F.col("d")).alias("d"))
+
+
+@query()
+def permuted_rmsd(spark, sf_dir):
+    """The least gap of two orders' line items, in any order of atoms, turned and mirrored: tests hold it against brute force."""
+    return matching.permuted_rmsd(_like_frames(spark, sf_dir))
+
+
+_SIDED = "pow(x[1] - ax, 2) + pow(x[2] - ay, 2) <= pow(x[1] - bx, 2) + pow(x[2] - by_, 2)"
+
+
+@query(f"with recursive {_E}, far as materialized (select a.x as a, b.x as b from e a join e b on a.id < b.id order by pow(a.x[1] - b.x[1], 2) + pow(a.x[2] - b.x[2], 2) desc, a.id, b.id limit 1), s as (select 0 as k, a[1] as ax, a[2] as ay, b[1] as bx, b[2] as by_ from far union all select k + 1, avg(x[1]) filter (l), avg(x[2]) filter (l), avg(x[1]) filter (not l), avg(x[2]) filter (not l) from (select k, x, {_SIDED} as l from s, e where k < 16) group by k), g as materialized (select id, x, label::varchar as family, {_SIDED} as l from e, s where k = 15), m as (select l, avg(x[1]) as cx, avg(x[2]) as cy, count(*) as n from g group by l), r as (select g.l, max(sqrt(pow(x[1] - cx, 2) + pow(x[2] - cy, 2))) as radius from g join m on m.l = g.l group by 1), t as (select l, arg_max(family, struct_pack(n := n, f := -first)) as family from (select l, family, count(*) as n, min(id) as first from g group by 1, 2) group by 1), b as (select m.*, radius, family from m join r on r.l = m.l join t on t.l = m.l), u as (select p.n as n_0, q.n as n_1, p.family as family_0, q.family as family_1, sqrt(pow(p.cx - q.cx, 2) + pow(p.cy - q.cy, 2)) as gap, p.radius as radius_0, q.radius as radius_1 from b p join b q on p.l and not q.l) select (case when family_0 <> family_1 and gap > radius_0 + radius_1 then 2 else 1 end)::int as floor, n_0, n_1, family_0, family_1, round(gap, 6) as gap, round(radius_0, 6) as radius_0, round(radius_1, 6) as radius_1 from u")
+def community_floor(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("id", F.slice("x", 1, 2).alias("x"), F.col("label").alias("family"))
+    got = communities.family_floor(v)
+    return got.select(*[R6(F.col(c)).alias(c) if c[:3] in ("gap", "rad") else c for c in got.columns])
