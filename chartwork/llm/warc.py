@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartwork.llm.common import small
+
 # Query parameters that don't name a resource
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 # Header fields of a 304 response that never replace those of the stored response
 KEPT_FIELDS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "set-cookie", "te", "trailer", "transfer-encoding", "upgrade")
-#: Pieces that the time of a URL's captures is cut into, so that one URL's captures are many tasks' work.
-CHUNKS = 256
+#: Pieces that a URL's captures are cut into by time, and captures from which a URL is cut.
+CHUNKS, PIECE_ROWS = 256, 10_000
+#: Rows of CHUNKS bounds that are broadcast, about 20 MB.
+BOUNDS = 10_000
 
 
 def canonical_url(url: str = "url") -> Column:
@@ -29,7 +33,24 @@ def etag_core(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
-def resolve_revisits(captures: DataFrame, chunks: int = CHUNKS) -> DataFrame:
+def cut_by_time(rows: DataFrame, chunks: int = CHUNKS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``rows`` with ``_chunk``: for a URL of more than ``piece_rows`` captures, one of ``chunks`` pieces of its times, about equally full.
+
+    The bounds are quantiles of the URL's own times, so that captures that lie close together in time are cut too.
+    Captures of one time stay together; those without a time are piece -1; other URLs are one piece, 0.
+    """
+    chunk = F.lit(0)
+    if chunks > 1:
+        crowded = rows.where("canonical is not null").groupBy("canonical").count().where(F.col("count") > piece_rows).select("canonical")
+        quantiles = F.percentile_approx("_t", [i / chunks for i in range(1, chunks)]).alias("_bounds")
+        bounds = rows.join(small(crowded, BOUNDS), "canonical", "left_semi").groupBy("canonical").agg(quantiles)
+        rows = rows.join(small(bounds, BOUNDS), "canonical", "left")
+        chunk = F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda b: b <= F.col("_t"))))
+    cut = rows.withColumn("_chunk", F.when(F.col("_t").isNull(), -1).otherwise(chunk))
+    return cut.drop("_bounds")
+
+
+def resolve_revisits(captures: DataFrame, chunks: int = CHUNKS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Each 304 revisit with the latest earlier full response of its canonical URL.
 
     ``captures`` has record_id long, url string, ts timestamp or long, status int, headers map<string,string> (names
@@ -45,17 +66,13 @@ def resolve_revisits(captures: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     which keep the target's. A null url is canonical to nothing: an orphan. Null headers count as none. Repeated
     records give repeated rows; records with a null ts come first.
 
-    The captures of one URL are cut by time into ``chunks`` pieces; each piece is scanned in order by itself, and
-    starts with the last full response of the pieces before it. Bodies don't travel: join them by target_id.
+    A URL's captures are cut into pieces by ``cut_by_time``; each piece is scanned in order by itself, and starts with the last full response of the pieces before it. Bodies don't travel: join them by target_id.
     """
     ts = F.col("ts").cast("timestamp").cast("double") if dict(captures.dtypes)["ts"].startswith("timestamp") else F.col("ts").cast("double")
     rows = captures.select("record_id", canonical_url().alias("canonical"), "ts", ts.alias("_t"), "status", F.coalesce("headers", F.expr("map()").cast("map<string,string>")).alias("headers"))
     rows = rows.where("status in (200, 304)")
-    least, most = rows.agg(F.min("_t"), F.max("_t")).first()
-    width = max(((most or 0) - (least or 0)) / chunks, 1e-9)
-    chunk = F.coalesce(F.least(F.floor((F.col("_t") - F.lit(float(least or 0))) / width), F.lit(chunks - 1)), F.lit(-1)).cast("int")
     full = F.when(F.col("status") == 200, F.struct(F.col("_t").alias("t"), F.col("record_id").alias("id"), "ts", "headers"))
-    marked = rows.withColumn("_chunk", chunk).withColumn("_full", full)
+    marked = cut_by_time(rows, chunks, piece_rows).withColumn("_full", full)
     # the last full response of each piece; pieces a URL are at most ``chunks`` + 1
     order = F.struct(F.coalesce(F.col("_full.t"), F.lit(float("-inf"))), F.col("_full.id"))
     lasts = marked.where("status = 200 and canonical is not null").groupBy("canonical", "_chunk").agg(F.max_by("_full", order).alias("_last"))

@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from chartwork.llm import linededup
 from chartwork.llm.common import Words, components, shingle_sets
@@ -27,7 +28,7 @@ from chartwork.llm.mixing import exact_weights, integer_weights, mix_sources, mi
 from chartwork.llm.queries import ORACLES, QUERIES
 from chartwork.llm.sharding import SlotMap, shard_documents, slot_totals
 from chartwork.llm.substrings import align, chain, repeated_passages
-from chartwork.llm.warc import resolve_revisits
+from chartwork.llm.warc import canonical_url, cut_by_time, resolve_revisits
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,14 +196,34 @@ def test_revisits(spark):
         (11, "http://a.org/x", 12, 404, {}),
     ]
     schema = "record_id long, url string, ts long, status int, headers map<string,string>"
-    for chunks in (1, 3, 256):
-        found = {r["revisit_id"]: r for r in resolve_revisits(frame(spark, rows, schema), chunks).collect()}
+    for chunks, least in ((1, 1), (3, 1), (256, 1), (256, 10_000)):
+        found = {r["revisit_id"]: r for r in resolve_revisits(frame(spark, rows, schema), chunks, least).collect()}
         assert {k: (r["target_id"], r["outcome"]) for k, r in found.items()} == {3: (1, "resolved"), 4: (2, "mismatch"), 5: (2, "resolved"), 6: (2, "unchecked"), 7: (None, "orphan"), 9: (None, "orphan"), 10: (1, "resolved")}
         assert found[3]["headers"] == {"etag": 'W/"1"', "content-length": "5", "date": "d3"}
         assert found[4]["headers"] == rows[1][4] and found[7]["headers"] is None
     assert resolve_revisits(frame(spark, [], schema)).count() == 0
 
 
+def test_crowded_urls_are_cut_where_their_captures_are(spark):
+    """One URL with many captures in a short span, beside a capture that is far away in time; ties, and a null time."""
+    rng = random.Random(8)
+    rows = [(i, "http://h/a", None if i == 0 else 10**9 + i // 2, rng.choice((200, 304, 304)), {"etag": str(rng.randrange(2))}, 0) for i in range(3000)]
+    rows.append((5000, "http://h/b", 1, 200, {"etag": "1"}, 0))
+    captures = frame(spark, rows, "record_id long, url string, ts long, status int, headers map<string,string>, canonical int")
+    timed = captures.select("record_id", canonical_url().alias("canonical"), F.col("ts").cast("double").alias("_t"))
+    cut = {(r["canonical"], r["_chunk"]): r["count"] for r in cut_by_time(timed, 50, 1000).groupBy("canonical", "_chunk").count().collect()}
+    crowded = [n for (u, _), n in cut.items() if u == "h/a"]
+    assert len(crowded) == 51 and max(crowded) < 150 and cut["h/b", 0] == 1
+    want, last = {}, None
+    for i, _, _, status, headers, _ in rows[:3000]:
+        if status == 200:
+            last = (i, headers["etag"])
+        else:
+            want[i] = (last and last[0], "orphan" if last is None else "resolved" if last[1] == headers["etag"] else "mismatch")
+    found = resolve_revisits(captures, 50, 1000).collect()
+    assert {r["revisit_id"]: (r["target_id"], r["outcome"]) for r in found} == want
+
+
 # ---------------------------------------------------------------- 4 language ID
 
 
