@@ -216,3 +216,14 @@ def test_bodies(spark):
     cells = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (3, 3), (3, 2)], "iy int, ix int")
     assert {(r["iy"], r["ix"]): r["body"] for r in graph.bodies(cells, 4).collect()} == {(0, 0): 0, (0, 1): 0, (1, 1): 0, (3, 3): 14, (3, 2): 14}
     assert sorted(map(tuple, graph.largest_body(cells, 4).collect())) == [(0, 0), (0, 1), (1, 1)]
+
+
+def test_committor_of_a_long_chain(spark):
+    """Chains of inner nodes are eliminated block by block: two rounds are enough where one block's width a round is not."""
+    rng = np.random.default_rng(5)
+    w = np.exp(rng.normal(size=3000) * 2)
+    rows = [(k, k + 1, float(v)) for k, v in enumerate(w)] + [(9000, 9001, 1.0)]
+    got = {r["id"]: r["q"] for r in solvers.committor(spark.createDataFrame(rows, "i long, j long, w double"), [0], [3000], rounds=2, block=60).collect()}
+    want = np.concatenate([[0.0], np.cumsum(1 / w)]) / (1 / w).sum()
+    assert len(got) == 3003 and got[9000] is None
+    assert [got[k] for k in range(3001)] == pytest.approx(want.tolist(), abs=1e-9)
