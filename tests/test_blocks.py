@@ -114,3 +114,11 @@ def test_transfers_of_arrays(spark, name):
     assert t.values(x) == pytest.approx([r[0] for r in rows.select(t.column("x")).collect()])
     if name != "imq":
         assert t.slopes(x) == pytest.approx([r[0] for r in rows.select(t.slope("x")).collect()])
+
+
+def test_farthest_points_ahead_as_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, [float(v) for v in np.round(r, 1)]) for k, r in enumerate(rng.normal(size=(60, 2)))], "id long, x array<double>")
+    monkeypatch.setattr(pairs, "AHEAD", 5)
+    one = pairs.farthest_points(df, 12, 3, dist=lambda a, b: pairs.euclid(a, b, 2))
+    assert pairs.farthest_points(df, 12, 3).orderBy("step").collect() == one.orderBy("step").collect()
