@@ -12,6 +12,28 @@ from pyspark.sql import DataFrame
 _ENTRIES = 1 << 20
 #: Bids of the last phase, in parts of a matrix's range of costs: a matching costs at most this times n more than the least.
 _LAST_BID = 1e-12
+#: Rows of a matrix up to which its least assignment is worked out over sets of columns, and matrices at a time there.
+_SETS, _TOGETHER = 8, 2048
+
+
+def _by_sets(cost: np.ndarray) -> np.ndarray:
+    """``assigned`` of small matrices: the least cost of the first rows over each set of as many columns, n 2^n / 2 steps for the whole batch."""
+    m, n, _ = cost.shape
+    cell = np.ascontiguousarray(cost.transpose(1, 2, 0))
+    least, other = np.full((1 << n, m), np.inf), np.empty(m)
+    least[0] = 0.0
+    for mask in range(1, 1 << n):
+        row = mask.bit_count() - 1
+        for c in range(n):
+            if mask >> c & 1:
+                np.add(least[mask ^ 1 << c], cell[row, c], out=other)
+                np.minimum(least[mask], other, out=least[mask])
+    mine, left, at = np.empty((m, n), dtype=np.int64), np.full(m, (1 << n) - 1), np.arange(m)
+    for row in range(n - 1, -1, -1):
+        ways = [np.where(left >> c & 1, least[left & ~(1 << c), at] + cell[row, c], np.inf) for c in range(n)]
+        mine[:, row] = np.argmin(ways, axis=0)
+        left ^= 1 << mine[:, row]
+    return mine
 
 
 def assigned(cost: np.ndarray) -> np.ndarray:
@@ -24,6 +46,8 @@ def assigned(cost: np.ndarray) -> np.ndarray:
     mine = np.zeros((m, n), dtype=np.int64)
     if n < 2 or not m:
         return mine
+    if n <= _SETS:
+        return np.concatenate([_by_sets(cost[lo : lo + _TOGETHER]) for lo in range(0, m, _TOGETHER)])
     low = cost.min(axis=(1, 2), keepdims=True)
     span = cost.max(axis=(1, 2), keepdims=True) - low
     worth = (low - cost) / np.where(span > 0, span, 1.0)
@@ -60,6 +84,11 @@ def _matched(q: np.ndarray, column: np.ndarray) -> np.ndarray:
     return np.take_along_axis(q, column[:, :, None], axis=1)
 
 
+def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Costs that order matchings as ``_gaps`` does: without the squares, of which each matching has all."""
+    return -(p @ q.transpose(0, 2, 1))
+
+
 def _mean_gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(((p - q) ** 2).sum(axis=2).mean(axis=1))
 
@@ -105,28 +134,39 @@ def _starts(p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate([q[:, None], q[:, None] @ r], axis=1)
 
 
+def _unlike(orders: np.ndarray, seen: int) -> np.ndarray:
+    """The rows (row, columns), once each, that aren't among the first ``seen`` of them."""
+    width = orders.shape[1] - 1
+    if (int(orders[:, 0].max(initial=0)) + 1) * width**width < 1 << 62:
+        _, first = np.unique(orders @ np.append(width**width, [width**k for k in range(width)]), return_index=True)
+    else:
+        _, first = np.unique(orders, axis=0, return_index=True)
+    return orders[first[first >= seen]]
+
+
 def least_rmsd(p: np.ndarray, q: np.ndarray, improper: bool, most: int) -> np.ndarray:
-    """The least root mean square gap found for each pair of centred structures, over orders of atoms and rotations."""
+    """The least root mean square gap found for each pair of centred structures, over orders of atoms and rotations.
+
+    An order fixes the rotation and that the next order, so starts that come to one order go on as one.
+    """
     m, n, _ = p.shape
     best = np.full(m, np.inf)
     for sign in (1.0, -1.0) if improper else (1.0,):
         t = _starts(p, sign * q, most)
+        row = np.repeat(np.arange(m), t.shape[1])
+        column = assigned(_apart(p[row], t.reshape(-1, n, 3)))
         # and by the order in which the atoms' sorted distances to the others agree best
         sides = [np.sort(np.sqrt(_gaps(x, x)), axis=2) for x in (p, q)]
-        column = assigned(_gaps(*sides))
-        t = np.concatenate([t, _turned(p, _matched(sign * q, column), sign * q)[:, None]], axis=1)
-        row = np.repeat(np.arange(m), t.shape[1])
-        at = t.reshape(-1, n, 3)
-        least = np.full(len(row), np.inf)
-        live = np.arange(len(row))
+        live = np.concatenate([np.column_stack([row, column]), np.column_stack([np.arange(m), assigned(_gaps(*sides))])])
+        live = seen = _unlike(live, 0)
         while len(live):  # both steps lower the gap, and orders are finitely many
-            column = assigned(_gaps(p[row[live]], at[live]))
-            at[live] = _turned(p[row[live]], _matched(at[live], column), at[live])
-            got = _mean_gap(p[row[live]], _matched(at[live], column))
-            better = got < least[live] * (1 - 1e-9) - 1e-12
-            least[live] = np.minimum(least[live], got)
-            live = live[better]
-        np.minimum.at(best, row, least)
+            row, column = live[:, 0], live[:, 1:]
+            own = sign * q[row]
+            at = _turned(p[row], _matched(own, column), own)
+            np.minimum.at(best, row, _mean_gap(p[row], _matched(at, column)))
+            both = np.concatenate([seen, np.column_stack([row, assigned(_apart(p[row], at))])])
+            live = _unlike(both, len(seen))
+            seen = np.concatenate([seen, live])
     return best
 
 
@@ -148,7 +188,9 @@ def _by_size(pairs: DataFrame, entries: Callable[[int], int], work: Callable[[np
                     p, q = (np.stack(part[c].to_numpy()).astype(float).reshape(len(part), n, 3) for c in ("xi", "xj"))
                     yield pd.DataFrame({"i": part["i"], "j": part["j"], name: work(p, q)})
 
-    return pairs.select("i", "j", "xi", "xj").mapInPandas(run, f"i long, j long, {name} double")
+    # small rows of much work: their bytes don't tell how many tasks they need
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("i", "j", "xi", "xj").repartition(parts, "i", "j").mapInPandas(run, f"i long, j long, {name} double")
 
 
 def assignment_distance(pairs: DataFrame) -> DataFrame:

@@ -63,6 +63,19 @@ def test_permuted_rmsd(spark, improper):
     assert d.where("i = 50").first()["d"] == pytest.approx(0, abs=1e-9) and d.where("i = 51").first()["d"] == pytest.approx(3**0.5)
 
 
+def test_an_order_is_turned_once_and_pairs_are_spread(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    p, q = rng.normal(size=(2, 20, 3, 3))
+    turned, plain = [], matching._turned
+    monkeypatch.setattr(matching, "_turned", lambda p, q, by: turned.append(len(p)) or plain(p, q, by))
+    centred = [x - x.mean(axis=1, keepdims=True) for x in (p, q)]
+    got = matching.least_rmsd(*centred, True, 64)
+    assert sum(turned) <= 20 * 2 * 6  # three atoms have six orders, each also mirrored
+    assert got == pytest.approx([brute(a, b, True) for a, b in zip(p, q, strict=True)], abs=1e-9)
+    one = spark.createDataFrame([(1, 0, [0.0] * 3, [1.0] * 3)], PAIRS).coalesce(1)
+    assert matching.permuted_rmsd(one).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def sequential(x, family):
     i, j = max(combinations(range(len(x)), 2), key=lambda p: (round(float(((x[p[0]] - x[p[1]]) ** 2).sum()), 12), -p[0], -p[1]))
     a, b = x[i], x[j]
