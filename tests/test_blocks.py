@@ -122,3 +122,23 @@ def test_farthest_points_ahead_as_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(pairs, "AHEAD", 5)
     one = pairs.farthest_points(df, 12, 3, dist=lambda a, b: pairs.euclid(a, b, 2))
     assert pairs.farthest_points(df, 12, 3).orderBy("step").collect() == one.orderBy("step").collect()
+
+
+def test_kernel_and_ranks_make_no_rows_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.random((70, 3)), 1)  # many distances are equal
+    x = x[np.unique(x, axis=0, return_index=True)[1]]
+    n = len(x)
+    df = spark.createDataFrame([(3 * i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, x array<double>")
+    d = np.sqrt(((x[:, None] - x) ** 2).cumsum(axis=2)[:, :, -1])
+    np.fill_diagonal(d, np.inf)
+    order = d.argsort(axis=1, kind="stable")
+    monkeypatch.setattr(blocks, "SPREAD", 4)
+    got = blocks.at_ranks(df, lambda m: np.array([1, 7, m]))
+    assert {tuple(r) for r in got.collect()} == {(3 * i, 3 * int(order[i, r - 1]), r) for i in range(n) for r in (1, 7, n - 1)}
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert blocks.at_ranks(df.limit(2), lambda m: np.arange(1, min(m, 1) + 1)).count() == 2
+    band = spark.createDataFrame([(3 * i, float(np.sort(d[i])[1])) for i in range(n)], "id long, b double")
+    kernel = mapped.phate_kernel(df, band, 10.0)
+    plain = stats.phate_kernel(pairs.all_pairs(df), 2, 10.0)
+    assert {(r["i"], r["j"]): r["w"] for r in kernel.collect()} == pytest.approx({(r["i"], r["j"]): r["w"] for r in plain.collect()}, abs=1e-12)
