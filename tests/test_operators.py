@@ -242,3 +242,13 @@ def test_distance_fill_takes_the_nearest_without_meeting_all_sites(spark):
         want[iy, ix] = sum(a * v for a, (_, _, v) in zip(w, near, strict=True)) / sum(w) if w else None
     assert {(r["iy"], r["ix"]): r["f"] for r in got.collect()} == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
     assert "FLOOR" not in got._jdf.queryExecution().executedPlan().toString().upper()  # no bins that a cell meets whole
+
+
+def test_z_scores_of_many_rows_keep_their_digits(spark):
+    df = spark.range(100_000).coalesce(1).select("id", (F.lit(1e9) + F.col("id") % 7 / 10).alias("v"))
+    x = np.array([r["v"] for r in df.limit(100_000).collect()])
+    off = x - 1e9
+    mean = math.fsum(off) / len(off)
+    want = (off - mean) / math.sqrt(math.fsum((off - mean) ** 2) / len(off))
+    got = np.array([r["v"] for r in stats.z_scores(df, ("v",)).orderBy("id").collect()])
+    assert np.abs(got - want).max() < 1e-9
