@@ -86,8 +86,8 @@ class LanguageFilters:
         bits = np.array([np.count_nonzero(self.masks >> np.uint64(i) & np.uint64(1)) for i in range(len(self.languages))])
         return (bits / len(self.masks)) ** HASHES
 
-    def shares(self, column: pa.Array) -> np.ndarray:
-        """Rows x languages: share of a text's n-grams in each language's filter, corrected for false positives."""
+    def shares(self, column: pa.Array, wrong: np.ndarray | None = None) -> np.ndarray:
+        """Rows x languages: share of a text's n-grams in each language's filter, corrected for false positives (``wrong``, if known)."""
         rows = len(column)
         count, seen = np.zeros(rows), np.zeros((rows, len(self.languages)))
         for grams, row in gram_blocks(column):
@@ -97,7 +97,7 @@ class LanguageFilters:
             count += np.bincount(row, minlength=rows)
             for i in range(len(self.languages)):
                 seen[:, i] += np.bincount(row[(found >> np.uint64(i) & np.uint64(1)) == 1], minlength=rows)
-        wrong = self.false_positive()
+        wrong = self.false_positive() if wrong is None else wrong
         return np.clip((seen / np.maximum(count, 1)[:, None] - wrong) / np.maximum(1e-9, 1 - wrong), 0, 1)
 
 
@@ -164,12 +164,13 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageFilters(*shared.value)
-        for batch in slices(batches, column, PIECE):
+        wrong = model.false_positive()
+        for batch in slices(batches, column, PIECE >> 2):
             texts = batch.column(batch.schema.get_field_index(column))
             # also for scripts whose letters the n-grams don't separate: any Unicode letter counts
             letters = pc.match_substring_regex(texts.fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
             if model.languages:
-                shares = model.shares(texts)
+                shares = model.shares(texts, wrong)
                 best = shares.argmax(axis=1)
                 pred = np.where(letters, np.array(model.languages, dtype=object)[best], "und")
                 score = np.where(letters, shares[np.arange(len(best)), best], 0.0)

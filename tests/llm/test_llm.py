@@ -782,3 +782,16 @@ def test_recall_of_changed_passages(spark, changed):
             pairs.append((2 * k + 1, 2 * k))
     found = {(r["doc_id"], r["ref_doc_id"]) for r in repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(pairs) >= 40 and sum(p in found for p in pairs) >= 0.9 * len(pairs)
+
+
+def test_the_end_of_a_task_gives_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from chartwork.llm import common
+
+    batch = pa.record_batch([pa.array(["a" * 40] * 10)], names=["text"])
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert sum(b.num_rows for b in common.slices(iter([batch]), most=100)) == 10 and calls == [1]
+    monkeypatch.undo()
+    common.give_back()
