@@ -36,6 +36,7 @@ PIECE = 2 << 20
 TOGETHER, BROADCAST_CHAINS = 256, 250_000
 
 
+SEED = "seed long, doc long, at int, reach int"
 PASSAGE = "doc_id long, first_word long, end_word long, ref_doc_id long, ref_first long, ref_end long, similarity double"
 
 
@@ -61,9 +62,34 @@ def minimisers(words: Words, k: int, window: int, short: bool) -> tuple[np.ndarr
     if len(pick):
         same = np.append(False, (h[pick[1:]] == h[pick[:-1]]) & (np.diff(pick) == 1))
         pick = pick[~same | ~np.append(same[1:], False)]
+        pick = pick[~_amid(h, at, k, pick)[pick]]
     return h[pick], at[pick]
 
 
+def _amid(h: np.ndarray, at: np.ndarray, k: int, pick: np.ndarray) -> np.ndarray:
+    """Which runs of ``k`` words lie amid a long stretch that repeats with a period of 2 to PERIOD, and say nothing new there.
+
+    Those of one period in each MIN_WORDS words stay, with those of the first one and of the last passage: a document
+    that has a passage of the stretch meets all of it, by a chain a passage in place of one a period.
+    """
+    amid, seen = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
+    for p in range(2, PERIOD + 1):
+        if not (h[pick] == h[np.minimum(pick + p, len(h) - 1)]).any():  # picks are in every stretch
+            continue
+        same = (h[p:] == h[:-p]) & (at[p:] - at[:-p] == p)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+        wide = p if p <= WINDOW else 2 * p
+        step = p * max(1, (MIN_WORDS - p) // p)
+        for lo, hi in zip(edge[::2].tolist(), (edge[1::2] + p).tolist(), strict=True):
+            last = hi - 1 + k - MIN_WORDS - wide - lo  # where the last passage begins, about
+            if last > step and not seen[(lo + hi) // 2]:  # of the multiples of a period the least
+                seen[lo:hi] = True
+                place = np.arange(hi - lo)
+                gone = (place % step >= wide) & (place < hi - lo - wide) & ((place < last) | (place > last + wide))
+                amid[lo:hi] |= gone
+    return amid
+
+
 def periodic(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first words of runs of ``n`` words in stretches that repeat with a period of at most PERIOD.
 
@@ -202,6 +228,26 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield run(rest)
 
 
+def _runs_about(min_words: int):
+    """The runs of ``min_words`` words about long seeds, as seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=PIECE):
+            words = Words(batch.column(1))
+            rows, firsts = [], []
+            for row, asked in enumerate(batch.column(2).to_pylist()):
+                begin, end = int(words.first[row]), int(words.first[row + 1])
+                at = np.unique(np.add.outer(np.array(asked, np.int64), np.arange(LONG - min_words, 1)))
+                at = at[(at >= 0) & (at <= end - begin - min_words)]
+                rows.append(np.full(len(at), row))
+                firsts.append(begin + at)
+            row, first = (np.concatenate(x).astype(np.int64) for x in (rows, firsts))
+            h = _gram(words.hash, first, min_words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(row)), pa.array((first - words.first[row]).astype(np.int32)), pa.array(np.full(len(h), min_words - K, np.int32))], names=["seed", "doc", "at", "reach"])
+
+    return run
+
+
 def _spans(margin: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words (as 32-bit hashes) of the asked spans of each text, wider by ``margin``, and the text's words in all."""
@@ -484,6 +530,54 @@ def _aligned(unique: DataFrame, chains: DataFrame, margin: int, min_words: int)
     return written(chains.join(left, "chain").join(right, "chain").mapInArrow(_align_all(min_words), PASSAGE + ", chain long, more boolean"), "aligned")
 
 
+def _met(seeds: DataFrame) -> DataFrame:
+    """(seed, a, b, pa, pb, reach, times): each occurrence of a seed with the seed's first one, by document."""
+    head = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("head"), F.count("*").alias("times")).where("times > 1")
+    # written, so that both sides of the join are shuffles whose large partitions Spark splits
+    head = written(head, "heads")
+    return written(seeds.join(head, "seed").where("doc <> head.doc").select("seed", F.col("head.doc").alias("a"), F.col("doc").alias("b"), F.col("head.at").alias("pa"), F.col("at").alias("pb"), "reach", "times"), "met")
+
+
+def _passages(unique: DataFrame, met: DataFrame, min_words: int) -> DataFrame:
+    """The passages along the chains of the anchors that seeds make."""
+    # a long seed has two anchors, one at either end
+    ends = F.when(F.col("reach") > 0, F.array(F.lit(0), F.col("reach"))).otherwise(F.array(F.lit(0)))
+    anchors = met.withColumn("o", F.explode(ends)).select("a", "b", (F.col("pa") + F.col("o")).alias("pa"), (F.col("pb") + F.col("o")).alias("pb"))
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chains = anchors.repartition(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_chains, "a long, b long, a0 long, a1 long, b0 long, b1 long, d0 long, d1 long")
+    return _extended(unique, written(chains.withColumn("chain", F.monotonically_increasing_id()), "chains"), min_words)
+
+
+def _extended(unique: DataFrame, chains: DataFrame, min_words: int) -> DataFrame:
+    """The alignments of chains, worked out again on more words where those seen at first don't do."""
+    passages, margin, left = None, MARGIN, chains
+    while True:
+        got = _aligned(unique, left, margin, min_words)
+        done = got.where("not more").drop("chain", "more")
+        passages = done if passages is None else passages.unionByName(done)
+        again = got.where("more").select("chain").distinct()
+        if again.isEmpty():
+            return passages
+        left, margin = written(left.join(again, "chain"), "longer"), 8 * margin
+
+
+def _open_seeds(met: DataFrame, passages: DataFrame) -> DataFrame:
+    """(seed) of the long seeds of three occurrences or more, one of which is in no passage with the first one.
+
+    Nor in any passage by which its document and the first one's are known to be in one class.
+    """
+    own = met.where((F.col("reach") == LONG - K) & (F.col("times") > 2)).select("seed", "a", "b", "pb")
+    p = passages.select("doc_id", "ref_doc_id", "first_word", "end_word").distinct()
+    inside = (F.col("b") == p["doc_id"]) & (p["first_word"] <= F.col("pb")) & (F.col("pb") + LONG <= p["end_word"])
+    loose = written(own.join(p, inside & (F.col("a") == p["ref_doc_id"]), "left_anti"), "loose")
+    bare = loose.join(p, inside, "left_anti").select("seed")
+    least = written(p.groupBy("doc_id").agg(F.min("ref_doc_id").alias("ref")), "least")
+    label = lambda side, name: small(least.select(F.col("doc_id").alias(side), F.col("ref").alias(name)))
+    known = loose.join(label("a", "ra"), "a", "left").join(label("b", "rb"), "b", "left")
+    apart = known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("seed")
+    return written(bare.unionByName(apart).distinct(), "open-seeds")
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Passages of at least ``min_words`` words that a text shares, but for a few words, with another document's.
 
@@ -493,9 +587,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     n - 1 rows or a few more, not all pairs; where parts of it point to different documents, alignments go on beyond
     the seeds. Words are runs without white space, A-Z in lower case.
 
-    An alignment is extended as long as it reaches the ends of the words that were looked at. Two documents whose
-    common passage lies wholly in parts that earlier documents hold singly are found by long seeds, unless an earlier
-    document has 30 to 49 of its words in each place.
+    An alignment is extended as long as it reaches the ends of the words that were looked at. Two documents that share
+    a run of ``min_words`` words as it is are in one class, whatever earlier documents hold of it: long seeds whose
+    occurrences are not all joined with the first one are replaced by the runs of ``min_words`` words about them.
 
     An empty table gives an empty one. Null and empty texts have no passages. Rows of one doc_id count as one document and are not compared with each
     other; rows without doc_id are left out, as are other columns.
@@ -508,27 +602,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     unique = rows.join(small(copies.select("doc").distinct()), "doc", "left_anti").select("doc", "text")
 
     # written: read once for the heads and once for what meets them
-    seeds = written(unique.mapInArrow(_seeds(max(min_words, K)), "seed long, doc long, at int, reach int"), "seeds")
-    head = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("head"), F.count("*").alias("times")).where("times > 1")
-    # written, so that both sides of the join are shuffles whose large partitions Spark splits
-    head = written(head.select("seed", "head"), "heads")
-    anchors = seeds.join(head, "seed").where("doc <> head.doc").select(F.col("head.doc").alias("a"), F.col("doc").alias("b"), F.col("head.at").alias("pa"), F.col("at").alias("pb"), "reach")
-    # a long seed has two anchors, one at either end
-    ends = F.when(F.col("reach") > 0, F.array(F.lit(0), F.col("reach"))).otherwise(F.array(F.lit(0)))
-    anchors = anchors.withColumn("o", F.explode(ends)).select("a", "b", (F.col("pa") + F.col("o")).alias("pa"), (F.col("pb") + F.col("o")).alias("pb"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chains = anchors.repartition(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_chains, "a long, b long, a0 long, a1 long, b0 long, b1 long, d0 long, d1 long")
-    chains = written(chains.withColumn("chain", F.monotonically_increasing_id()), "chains")
-
-    passages, margin, left = None, MARGIN, chains
-    while True:
-        got = _aligned(unique, left, margin, min_words)
-        done = got.where("not more").drop("chain", "more")
-        passages = done if passages is None else passages.unionByName(done)
-        again = got.where("more").select("chain").distinct()
-        if again.isEmpty():
-            break
-        left, margin = written(left.join(again, "chain"), "longer"), 8 * margin
+    seeds = written(unique.mapInArrow(_seeds(max(min_words, K)), SEED), "seeds")
+    met = _met(seeds)
+    passages = _passages(unique, met, min_words)
+    open_ = _open_seeds(met, passages)
+    if min_words > LONG and not open_.isEmpty():
+        asked = seeds.where(F.col("reach") == LONG - K).join(small(open_), "seed", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("asked"))
+        runs = written(unique.join(small(written(asked, "asked-runs")), "doc").select("doc", "text", "asked").mapInArrow(_runs_about(min_words), SEED), "runs")
+        passages = passages.unionByName(_passages(unique, _met(runs), min_words))
     passages = passages.distinct().withColumn("kind", F.lit("passage"))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

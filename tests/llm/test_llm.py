@@ -349,6 +349,32 @@ def test_passages_whose_parts_are_elsewhere(spark):
     assert max(r["end_word"] - r["first_word"] for r in found if (r["ref_doc_id"], r["doc_id"]) == (21, 22)) >= 390
 
 
+def test_a_shared_run_whose_parts_all_have_earlier_documents(spark):
+    """Words 0-48 and 11-59 of a run are in one document each: every seed of 30 words leads to one of these."""
+    rng = random.Random(31)
+    rows, want = [], set()
+    for k in range(5):
+        p = sentence(rng, 60, 10**6).split()
+        pad = lambda: sentence(rng, 30, 10**6).split()
+        texts = [pad() + p[:49] + pad(), pad() + p[11:] + pad(), pad() + p + pad(), pad() + p + pad()]
+        rows += [(10 * k + i, " ".join(t), None, None, 0) for i, t in enumerate(texts)]
+        want.add((10 * k + 3, 10 * k + 2))
+    assert want <= {(r["doc_id"], r["ref_doc_id"]) for r in repeated_passages(frame(spark, rows)).collect()}
+
+
+def test_a_long_stretch_of_few_words_makes_few_rows(spark):
+    """A pair, or ten words, again and again: all of it is in passages, but not once more for each period."""
+    rng = random.Random(32)
+    pad = lambda: sentence(rng, 30, 10**6).split()
+    few = sentence(rng, 10, 10**6).split()
+    texts = {1: pad() + ["x", "y"] * 32 + pad(), 2: pad() + ["x", "y"] * 300 + pad(), 11: pad() + few * 8 + pad(), 12: pad() + few * 60 + pad()}
+    found = repeated_passages(frame(spark, [(k, " ".join(w), None, None, 0) for k, w in texts.items()])).collect()
+    for a, b, p in ((1, 2, 2), (11, 12, 10)):
+        own = [r for r in found if (r["ref_doc_id"], r["doc_id"]) == (a, b)]
+        covered = set().union(*(range(r["first_word"], r["end_word"]) for r in own))
+        assert set(range(30, 630 - p)) <= covered and len(own) < 150
+
+
 def test_long_passages_are_extended(spark):
     """A passage whose seeds are far from its ends: every sixth word differs there."""
     rng = random.Random(12)
