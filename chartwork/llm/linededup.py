@@ -109,10 +109,15 @@ class LineRuns:
                 break
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h, l, doc_id) of each document's distinct line keys, written: they are read to count them and to drop lines."""
+    return written(docs.mapInPandas(_hashes(min_chars), "h long, l long, doc_id long"), "lines")
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, hashed: DataFrame | None = None) -> DataFrame:
     """(h, l, holder) of the line keys found in at least ``min_docs`` documents; holder is the largest doc_id.
 
-    ``docs`` has doc_id and text. Batches go by falling doc_id, so a key's holder is in the first batch that has it:
+    ``docs`` has doc_id and text, ``hashed`` its hashed lines if they are known. Batches go by falling doc_id, so a key's holder is in the first batch that has it:
     what the runs know already is a repeat, and only counts are added for it.
     """
     spark = docs.sparkSession
@@ -120,7 +125,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     least, most = (least or 0, most or 0)
     width = (most - least) // batches + 1
-    hashed = docs.mapInPandas(_hashes(min_chars), "h long, l long, doc_id long")
+    hashed = hashed_lines(docs, min_chars) if hashed is None else hashed
     number = F.coalesce(F.lit(batches - 1) - F.floor((F.col("doc_id") - least) / width), F.lit(batches - 1)).cast("int")
     keyed = hashed.withColumn("batch", number).groupBy("batch", "h", "l")
     keyed = keyed.agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("holder")).where("holder is not null")
@@ -169,8 +174,8 @@ def dedup_lines(
     Other columns are left out.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lines = small(written(repeated_lines(rows, min_chars, min_docs, batches), "repeated-lines"))
-    hashed = rows.mapInPandas(_hashes(min_chars), "h long, l long, doc_id long")
+    hashed = hashed_lines(rows, min_chars)
+    lines = small(written(repeated_lines(rows, min_chars, min_docs, batches, hashed), "repeated-lines"))
     cut = hashed.join(lines, ["h", "l"]).where("doc_id is null or doc_id <> holder")
     # a document's repeated lines are no more than its lines
     dropped = cut.groupBy("doc_id").agg(F.collect_set(F.struct("h", "l")).alias("dropped"))

@@ -305,6 +305,16 @@ def test_short_items_are_found_as_they_are(spark):
     assert drop_leaks(docs, items).count() == len(texts) and drop_leaks(docs, items, min_words=4).count() == len(texts) - 1
 
 
+def test_lines_are_hashed_once(spark, monkeypatch):
+    from chartwork.llm import linededup
+
+    made, calls = linededup._hashes, []
+    monkeypatch.setattr(linededup, "_hashes", lambda n: calls.append(n) or made(n))
+    rows = [(k, f"{'same line ' * 5}\n{'own ' * 12}{k}", None, None, 0) for k in range(6)] + [(9, None, None, None, 0)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {**{k: (2, int(k < 5)) for k in range(6)}, 9: (1, 0)} and calls == [linededup.MIN_CHARS]
+
+
 # ---------------------------------------------------------------- 6 substrings
 
 
