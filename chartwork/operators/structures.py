@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,52 +72,84 @@ def unflattened(frames: DataFrame) -> DataFrame:
     return rows.select("frame", F.col("atom").cast("long").alias("atom"), part(1, "x"), part(2, "y"), part(3, "z"))
 
 
-#: Matrix entries of the frames that one task holds at a time.
-_ENTRIES = 1 << 21
+#: Numbers of the frames that one task works on at a time.
+_ENTRIES = 1 << 19
 
 
-def _spectra(atoms: DataFrame, entries: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(frame, x): descending eigenvalues of the symmetric matrices that ``entries`` makes of squared distances.
+def _spectra(atoms: DataFrame, spectrum: Callable[[np.ndarray], np.ndarray], numbers: Callable[[int], int]) -> DataFrame:
+    """(frame, x): what ``spectrum`` makes of the positions (frames, n, 3) of frames of equally many atoms, by frame (frames, n).
 
-    Frames of equally many atoms are solved together; ``entries`` maps (frames, n, n) to the like. A matrix with an
-    entry that is not finite has no spectrum: null.
+    So many frames are taken together that they come to _ENTRIES numbers, one at least: ``numbers`` tells those of a
+    frame of n atoms. A frame whose spectrum isn't finite has none: null.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, rows in batch.groupby(batch["xyz"].map(len) // 3):
-                step = max(1, _ENTRIES // (n * n))
+            at, values = batch.column("xyz").offsets.to_numpy(), batch.column("xyz").values.to_numpy(zero_copy_only=False)
+            size = np.diff(at) // 3
+            for n in np.unique(size).tolist():
+                rows = np.flatnonzero(size == n)
+                step = max(1, _ENTRIES // max(1, numbers(n)))
                 for lo in range(0, len(rows), step):
-                    part = rows.iloc[lo : lo + step]
-                    p = np.stack(part["xyz"].to_numpy()).reshape(len(part), n, 3)
-                    squares = (p * p).sum(axis=2)
-                    gaps = np.maximum(squares[:, :, None] + squares[:, None, :] - 2 * p @ p.transpose(0, 2, 1), 0)
-                    # the product cancels for near atoms: those are worked out from differences
-                    f, i, j = np.nonzero(gaps <= 1e-4 * (squares[:, :, None] + squares[:, None, :]))
-                    gaps[f, i, j] = ((p[f, i] - p[f, j]) ** 2).sum(axis=1)
-                    m = entries(gaps)
-                    good = np.isfinite(m).all(axis=(1, 2))
-                    found = np.full((len(part), n), np.nan)
-                    found[good] = np.linalg.eigvalsh(m[good])[:, ::-1]
-                    yield pd.DataFrame({"frame": part["frame"].to_numpy(), "x": [v if ok else None for v, ok in zip(found, good, strict=True)]})
-
-    return positions(atoms).mapInPandas(run, "frame long, x array<double>")
+                    part = rows[lo : lo + step]
+                    found = spectrum(values[at[part][:, None] + np.arange(3 * n)].reshape(len(part), n, 3).astype(float, copy=False))
+                    good = np.isfinite(found).all(axis=1)
+                    x = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(good * n)).astype(np.int32)), pa.array(found[good].ravel()), mask=pa.array(~good))
+                    yield pa.RecordBatch.from_arrays([batch.column("frame").take(pa.array(part)), x], names=["frame", "x"])
+
+    return positions(atoms).mapInArrow(run, "frame long, x array<double>")
 
 
 def coulomb_spectrum(atoms: DataFrame, diagonal: float = 0.0) -> DataFrame:
     """(frame, x): descending eigenvalues of the matrix of inverse distances; null where two atoms are in one place."""
 
-    def inverse(gaps: np.ndarray) -> np.ndarray:
-        own = np.eye(gaps.shape[1], dtype=bool)
+    def inverse(p: np.ndarray) -> np.ndarray:
+        squares = (p * p).sum(axis=2)
+        lengths = squares[:, :, None] + squares[:, None, :]
+        gaps = np.maximum(lengths - 2 * p @ p.transpose(0, 2, 1), 0)
+        # the product cancels for near atoms: those are worked out from differences
+        f, i, j = np.nonzero(gaps <= 1e-4 * lengths)
+        gaps[f, i, j] = ((p[f, i] - p[f, j]) ** 2).sum(axis=1)
+        own = np.eye(p.shape[1], dtype=bool)
         with np.errstate(divide="ignore"):
-            return np.where(own, diagonal, gaps ** -0.5)
+            m = np.where(own, diagonal, gaps ** -0.5)
+        good = np.isfinite(m).all(axis=(1, 2))
+        found = np.full(squares.shape, np.nan)
+        found[good] = np.linalg.eigvalsh(m[good])[:, ::-1]
+        return found
 
-    return _spectra(atoms, inverse)
+    return _spectra(atoms, inverse, lambda n: n * n)
 
 
 def squared_distance_spectrum(atoms: DataFrame) -> DataFrame:
-    """(frame, x): descending eigenvalues of the matrix of squared distances."""
-    return _spectra(atoms, lambda gaps: gaps)
+    """(frame, x): descending eigenvalues of the matrix of squared distances.
+
+    The matrix is U C U^T of the five columns U = (1, squared length, x, y, z) of the centred atoms, so with U = Q R those of
+    R C R^T are its eigenvalues, and all others are 0: work and memory are linear in the atoms.
+    """
+    c = np.zeros((5, 5))
+    c[0, 1] = c[1, 0] = 1.0
+    c[2, 2] = c[3, 3] = c[4, 4] = -2.0
+
+    def small(p: np.ndarray) -> np.ndarray:
+        n = p.shape[1]
+        found = np.zeros((len(p), n))
+        with np.errstate(over="ignore", invalid="ignore"):
+            p = p - p.mean(axis=1, keepdims=True)
+            scale = np.maximum(np.abs(p).max(axis=(1, 2)), 1e-300)
+            good = np.isfinite(12 * scale * scale)
+        found[~good] = np.nan
+        if good.any():
+            u = np.ones((int(good.sum()), n, 5))
+            u[:, :, 2:] = p[good] / scale[good, None, None]
+            u[:, :, 1] = (u[:, :, 2:] ** 2).sum(axis=2)
+            r = np.linalg.qr(u, mode="r")
+            m = r @ c @ r.transpose(0, 2, 1)
+            values = np.linalg.eigvalsh((m + m.transpose(0, 2, 1)) / 2) * (scale[good] ** 2)[:, None]
+            found[good, : values.shape[1]] = values
+        return -np.sort(-found, axis=1)
+
+    return _spectra(atoms, small, lambda n: 8 * n)
 
 
 def _covariances(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:

@@ -252,3 +252,24 @@ def test_z_scores_of_many_rows_keep_their_digits(spark):
     want = (off - mean) / math.sqrt(math.fsum((off - mean) ** 2) / len(off))
     got = np.array([r["v"] for r in stats.z_scores(df, ("v",)).orderBy("id").collect()])
     assert np.abs(got - want).max() < 1e-9
+
+
+def test_squared_distance_spectrum_is_linear_in_atoms(spark):
+    """Eigenvalues as of the dense matrix, of frames of any size; of 3000 atoms all but five are 0 exactly, as no matrix is made."""
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 3, 4, 5, 6, 17, 17, 60]
+    frames = [rng.normal(size=(n, 3)) * [10, 3, 1] + 1000 for n in sizes] + [np.zeros((7, 3)), np.arange(9.0)[:, None] * [1, 0, 0]]
+    rows = [(f, a, *map(float, p)) for f, x in enumerate(frames) for a, p in enumerate(x)]
+    rows += [(99, 0, 0.0, 0.0, 0.0), (99, 1, 1e200, 0.0, 0.0)]
+    got = {r["frame"]: r["x"] for r in structures.squared_distance_spectrum(spark.createDataFrame(rows, "frame long, atom long, x double, y double, z double")).collect()}
+    assert got[99] is None
+    for f, x in enumerate(frames):
+        want = np.linalg.eigvalsh(((x[:, None] - x[None]) ** 2).sum(axis=2))[::-1]
+        assert len(got[f]) == len(x)
+        assert np.abs(np.array(got[f]) - want).max() <= 1e-10 * max(1.0, want[0])
+    large = spark.range(3000).selectExpr("1L as frame", "id as atom", "sin(id) as x", "cos(id * 2) as y", "id / 3000 as z")
+    values = np.array(structures.squared_distance_spectrum(large).first()["x"])
+    x = np.array([[math.sin(i), math.cos(2 * i), i / 3000] for i in range(3000)])
+    squares = ((x[:, None] - x[None]) ** 2).sum(axis=2) ** 2
+    assert np.count_nonzero(values) == 5
+    assert (values**2).sum() == pytest.approx(squares.sum(), rel=1e-12)
