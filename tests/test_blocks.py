@@ -142,3 +142,12 @@ def test_kernel_and_ranks_make_no_rows_of_pairs(spark, monkeypatch):
     kernel = mapped.phate_kernel(df, band, 10.0)
     plain = stats.phate_kernel(pairs.all_pairs(df), 2, 10.0)
     assert {(r["i"], r["j"]): r["w"] for r in kernel.collect()} == pytest.approx({(r["i"], r["j"]): r["w"] for r in plain.collect()}, abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["two_scale_targets", "stitched_network", "distance_scaling"])
+def test_pairs_do_not_become_rows_here_either(spark, monkeypatch, name):
+    def no(*_, **__):
+        raise AssertionError("all pairs as rows")
+
+    monkeypatch.setattr(pairs, "all_pairs", no)
+    assert QUERIES[name](spark, SF) is not None
