@@ -151,3 +151,19 @@ def test_pairs_do_not_become_rows_here_either(spark, monkeypatch, name):
 
     monkeypatch.setattr(pairs, "all_pairs", no)
     assert QUERIES[name](spark, SF) is not None
+
+
+def test_many_farthest_points_take_few_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((400, 3)), 2)
+    df = spark.createDataFrame([(2 * k, [float(v) for v in r]) for k, r in enumerate(x)], "id long, x array<double>")
+    made, keep = [], pairs.kept
+    monkeypatch.setattr(pairs, "kept", lambda t: made.append(t) or keep(t))
+    got = [(r["step"], r["id"]) for r in pairs.farthest_points(df, 60, 10).orderBy("step").collect()]
+    want, m = [5], np.full(400, np.inf)
+    while len(want) < 60:
+        m = np.minimum(m, np.sqrt(((x - x[want[-1]]) ** 2).cumsum(axis=1)[:, -1]))
+        m[want] = -1
+        want.append(int(m.argmax()))
+    assert got == [(n, 2 * k) for n, k in enumerate(want)]
+    assert len(made) < 8
