@@ -167,3 +167,14 @@ def test_many_farthest_points_take_few_jobs(spark, monkeypatch):
         want.append(int(m.argmax()))
     assert got == [(n, 2 * k) for n, k in enumerate(want)]
     assert len(made) < 8
+
+
+def test_degrees_at_the_cutoff(spark):
+    x = np.array([(a, b) for a in range(9) for b in range(9)], dtype=float) * 0.1
+    x = np.concatenate([x, x[:5]])
+    df = spark.createDataFrame([(k, [float(v) for v in p]) for k, p in enumerate(x)], "id long, x array<double>").repartition(3)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    got = {r["id"]: r["degree"] for r in blocks.degrees(df, 0.3).collect()}
+    assert got == {k: int((d[k] < 0.3).sum()) for k in range(len(x))}
+    assert got == {r["id"]: r["degree"] for r in pairs.radius_degree(joins.radius_join(df, 0.3), 0.3, df).collect()}
