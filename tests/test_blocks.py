@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +180,30 @@ def test_degrees_at_the_cutoff(spark):
     got = {r["id"]: r["degree"] for r in blocks.degrees(df, 0.3).collect()}
     assert got == {k: int((d[k] < 0.3).sum()) for k in range(len(x))}
     assert got == {r["id"]: r["degree"] for r in pairs.radius_degree(joins.radius_join(df, 0.3), 0.3, df).collect()}
+
+
+@pytest.mark.parametrize("dist", [blocks.euclid_steps, blocks.dot_logs, blocks.periodic_steps([1.0, 1.0])])
+def test_points_at_few_places(spark, monkeypatch, dist):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(130, 2)), 1)[np.minimum(rng.integers(0, 130, size=900), np.arange(900) // 4)]
+    df = spark.createDataFrame([(5 * k, [float(v) for v in p]) for k, p in enumerate(x)], "id long, x array<double>").repartition(3)
+    monkeypatch.setattr(blocks, "RUN", 50)
+    monkeypatch.setattr(blocks, "fold_pairs", None)  # points don't meet one by one
+    got = {r["i"]: r for r in blocks.by_point(df, dist).collect()}
+    d = dist(x, x)
+    assert len(got) == 899
+    for k in range(1, 900):
+        own = d[k, :k][~np.isnan(d[k, :k])]
+        assert got[5 * k]["n"] == len(own)
+        if len(own):
+            assert tuple(got[5 * k])[2:] == (pytest.approx(own.sum(), abs=1e-9), pytest.approx(own.min(), abs=1e-12), pytest.approx(own.max(), abs=1e-12))
+
+
+def test_arcs_of_one_place_as_an_expression_has_them():
+    x = np.random.default_rng(2).random((300, 2))
+    want = []
+    for u, v in (2 * math.pi * x).tolist():
+        cu, su, cv, sv = math.cos(u), math.sin(u), math.cos(v), math.sin(v)
+        want.append(math.acos(max(-1, min(1, cu * cu + su * su * cv * cv + su * su * sv * sv))))
+    assert max(want) > 0
+    assert blocks.sphere_arcs([1.0, 1.0])(x, x).diagonal().tolist() == pytest.approx(want, abs=1e-12)
