@@ -207,3 +207,15 @@ def test_arcs_of_one_place_as_an_expression_has_them():
         want.append(math.acos(max(-1, min(1, cu * cu + su * su * cv * cv + su * su * sv * sv))))
     assert max(want) > 0
     assert blocks.sphere_arcs([1.0, 1.0])(x, x).diagonal().tolist() == pytest.approx(want, abs=1e-12)
+
+
+def test_correlations_by_bins_as_of_rows(spark, cloud, monkeypatch):
+    df, _ = cloud
+    want = list(mapped.correlations(df).first())
+    monkeypatch.setattr(mapped, "RANKED", 0)
+    monkeypatch.setattr(blocks, "listed", None)  # no pair is a row
+    assert list(mapped.correlations(df).first()) == pytest.approx(want, abs=1e-5)  # 11212 far pairs: a bin holds up to some 1e-4 of them
+    far = df.withColumn("u", F.when(F.col("id") == 0, 1e6).otherwise(F.col("u")))  # one place far off: nearly all pairs in one wide bin
+    got = list(mapped.correlations(far).first())
+    monkeypatch.undo()
+    assert got == pytest.approx(list(mapped.correlations(far).first()), rel=1e-4)
